@@ -4,20 +4,115 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.language import label_languages, language_code
 from barloom.llm.leaks import leaked_items
+from barloom.llm.nearest import nearest_join
+from barloom.llm.packing import pack_documents
+from barloom.llm.topn import top_n
 from barloom.sources.tables import table
 
+GROUP = ("campaign_id", "market", "universe_month")
+FIVE_MINUTES = 5 * 60_000_000
+
+
+def _month(c: str) -> Column:
+    """A month written YYYY-MM or YYYY-MM-DD as YYYY-MM; NULL for anything else."""
+    return F.when(F.col(c).rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), F.substring(c, 1, 7))
+
+
+def _last_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Of each symbol of a group the row recorded last. Combined before it is shuffled."""
+    v = table(spark, d, "monthly_volume").withColumn("universe_month", _month("universe_month"))
+    return v.groupBy(*GROUP, "symbol").agg(F.max_by("prior_month_quote_volume", "recorded_at").alias("prior_month_quote_volume"))
+
+
+def _top_ten(spark: SparkSession, d: str) -> DataFrame:
+    v = _last_volumes(spark, d).where(F.col("prior_month_quote_volume") >= 0)
+    return top_n(v, GROUP, "prior_month_quote_volume", "symbol", 10)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _top_ten(spark, d).select(*GROUP, "symbol", "rank_no")
+
+
+def p3_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    """The ten symbols of each group next to the counts on record."""
+    counts = table(spark, d, "cohort_summary").withColumn("universe_month", _month("universe_month"))
+    return _top_ten(spark, d).join(counts.select(*GROUP, "candidate_count", "eligible_count"), list(GROUP), "left")
+
+
+def _panel_pairs(spark: SparkSession, d: str, unmatched: bool) -> DataFrame:
+    return nearest_join(
+        table(spark, d, "panel"), table(spark, d, "funding_events"), ("market", "symbol"), "panel_id", "btc_source_timestamp",
+        "funding_id", "timestamp", "funding_rate", FIVE_MINUTES, unmatched)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _panel_pairs(spark, d, False).select(F.col("left_id").alias("panel_id"), F.col("right_id").alias("funding_id"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Every panel row that has a source time, with the funding rate nearest to it or none."""
+    return _panel_pairs(spark, d, True).select(
+        "market", "symbol", F.col("left_id").alias("panel_id"), F.col("right_id").alias("funding_id"), F.col("value").alias("funding_rate"))
+
+
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a window of at most 4,096 tokens."""
+    return pack_documents(table(spark, d, "documents"))
+
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     hits = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return hits.select("item_id", "doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p9_found,)}
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of twelve words of which up to one was changed, with where they end."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=1)
+
+
+def p10_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's main language and every block written in another, with a confidence."""
+    return label_languages(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    labels = label_languages(docs)
+    # The label travels with the row through the operator's doc_id; documents are not joined by text.
+    said = docs.select(F.col("doc_id").alias("said_id"), language_code(F.col("lang")).alias("said"))
+    j = labels.join(said, labels["doc_id"] == said["said_id"], "left")
+    wrong = (F.col("block_no") == -1) & (F.col("said").isNull() | (F.col("said") != F.col("lang_code")))
+    return j.where(F.col("lang_code").isNotNull() & (wrong | ((F.col("block_no") >= 0) & (F.col("words") >= 20)))).select(
+        "doc_id", "block_no", "lang_code").distinct()
+
+
+QUERIES = {f.__name__: f for f in (
+    p3_found, p3_cohorts, p5_found, p5_rates, p8_windows, p9_found, p9_passages, p10_found, p10_labels)}
+
+_RANKED = """
+WITH months AS (SELECT *, CASE WHEN regexp_full_match(universe_month, '[0-9]{4}-[0-9]{2}(-[0-9]{2})?') THEN substr(universe_month, 1, 7) END AS m FROM monthly_volume),
+newest AS (SELECT * FROM months QUALIFY row_number() OVER (PARTITION BY campaign_id, market, m, symbol ORDER BY recorded_at DESC) = 1),
+ranked AS (SELECT campaign_id, market, m AS universe_month, symbol, prior_month_quote_volume,
+  row_number() OVER (PARTITION BY campaign_id, market, m ORDER BY prior_month_quote_volume DESC, symbol) AS rank_no
+  FROM newest WHERE prior_month_quote_volume >= 0 AND NOT isnan(prior_month_quote_volume) AND m IS NOT NULL QUALIFY rank_no <= 10)
+"""
+_PAIRED = """
+WITH rows AS (SELECT DISTINCT panel_id, market, symbol, btc_source_timestamp AS t FROM panel WHERE btc_source_timestamp IS NOT NULL),
+pairs AS (SELECT p.panel_id, e.funding_id, e.funding_rate FROM rows p JOIN funding_events e ON e.market = p.market AND e.symbol = p.symbol
+  AND abs(epoch_us(e."timestamp") - epoch_us(p.t)) <= 300000000 AND e.funding_rate IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY p.panel_id ORDER BY abs(epoch_us(e."timestamp") - epoch_us(p.t)), e."timestamp", e.funding_id) = 1)
+"""
 SQL = {
+    "p3_found": _RANKED + "SELECT campaign_id, market, universe_month, symbol, rank_no FROM ranked",
+    "p3_cohorts": _RANKED + """SELECT r.*, c.candidate_count, c.eligible_count FROM ranked r LEFT JOIN cohort_summary c
+  ON c.campaign_id = r.campaign_id AND c.market = r.market AND substr(c.universe_month, 1, 7) = r.universe_month""",
+    "p5_found": _PAIRED + "SELECT panel_id, funding_id FROM pairs",
+    "p5_rates": _PAIRED + "SELECT r.market, r.symbol, r.panel_id, p.funding_id, p.funding_rate FROM rows r LEFT JOIN pairs p USING (panel_id)",
     "p9_found": r"""
 WITH plain AS (SELECT doc_id AS id, TRUE AS is_doc, text FROM documents UNION ALL SELECT item_id, FALSE, text FROM eval_items),
 words AS (SELECT id, is_doc, list_filter(string_split(regexp_replace(regexp_replace(replace(replace(replace(lower(text), '\\', ' '), '\-', ''), chr(173), ''), '\\[a-z@]+\*?', ' ', 'g'), '[^\p{L}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM plain),
