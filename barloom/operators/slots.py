@@ -23,13 +23,13 @@ def micros(ts: Column) -> Column:
 
 def step_us(timeframe: Column) -> Column:
     """Microseconds of a timeframe such as 15m, 4h or 1d; NULL for anything else."""
-    n = F.regexp_extract(timeframe, r"^([1-9][0-9]{0,4})([smhdw])$", 1)
-    unit = F.regexp_extract(timeframe, r"^([1-9][0-9]{0,4})([smhdw])$", 2)
+    n = timeframe.substr(F.lit(1), F.length(timeframe) - 1).try_cast("int")
+    unit = F.right(timeframe, F.lit(1))
     scale = (
         F.when(unit == "s", 1_000_000).when(unit == "m", 60_000_000).when(unit == "h", 3_600_000_000)
         .when(unit == "d", DAY_US).when(unit == "w", 7 * DAY_US)
     )
-    return F.when(n != "", n.cast("long") * scale)
+    return F.when(n > 0, n.cast("long") * scale)
 
 
 def slot_no(open_time: Column, timeframe: Column) -> Column:
