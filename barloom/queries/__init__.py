@@ -1,5 +1,5 @@
 """Registered queries and, where SQL can express them, the same as DuckDB SQL."""
 
-from barloom.queries import training
+from barloom.queries import bars, training
 
-MODULES = [training]
+MODULES = [training, bars]
