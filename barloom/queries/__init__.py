@@ -1,5 +1,5 @@
 """Registered queries and, where SQL can express them, the same as DuckDB SQL."""
 
-from barloom.queries import bars, training
+from barloom.queries import bars, relational, training
 
-MODULES = [training, bars]
+MODULES = [training, bars, relational]
