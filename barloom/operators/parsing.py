@@ -159,7 +159,8 @@ def parse_bars(lines: DataFrame, column: str = "raw_line") -> DataFrame:
     FAIL with the first reason that holds (BROKEN_QUOTING, COLUMN_COUNT, INVALID_VALUE), the field
     and the character where it was found. Every line gets exactly one row; an empty table stays empty."""
     require_columns(lines, {column})
-    return lines.withColumn("parsed", F.pandas_udf(parse_lines, PARSED)(F.col(column)))
+    # Nondeterministic, lest the optimiser copies the parse into each expression that uses a part of it.
+    return lines.withColumn("parsed", F.pandas_udf(parse_lines, PARSED).asNondeterministic()(F.col(column)))
 
 
 def loaded_bars(parsed: DataFrame) -> DataFrame:
