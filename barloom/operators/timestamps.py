@@ -237,7 +237,8 @@ def convert(texts: pd.Series, semantics: pd.Series) -> pd.DataFrame:
 
 def instants(texts: Column, semantics: Column) -> Column:
     """Column form of convert(): struct of INSTANT."""
-    return F.pandas_udf(convert, INSTANT)(texts, semantics)
+    # Not to be copied into each expression that uses a part of it.
+    return F.pandas_udf(convert, INSTANT).asNondeterministic()(texts, semantics)
 
 
 def _nearest(inst: Column, target: Column) -> Column:
