@@ -135,5 +135,7 @@ def pack_documents(
                 "token_from": full[m] * capacity, "token_to": tokens[m]}))
         return pd.concat(out)
 
-    out = sized.withColumn("packing_group", at).groupBy("packing_group").applyInPandas(run, PACKED)
+    # A number of partitions of our own: by their few bytes adaptive execution would join all groups into one task.
+    out = sized.withColumn("packing_group", at).repartition(min(groups, 20_000), "packing_group")
+    out = out.groupBy("packing_group").applyInPandas(run, PACKED)
     return out.withColumn("tokenizer", F.lit(tokenizer))
