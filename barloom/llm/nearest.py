@@ -107,40 +107,50 @@ def nearest_join(
     schema = ", ".join([*(f"`{e}` {kinds[e]}" for e in entity), "left_id long, left_us long, right_id long, right_us long, value double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buffer, now = NearestBuffer(tolerance_us), None
-
-        def out(key: tuple, watermark: int | None) -> pd.DataFrame:
-            ids, lt, rid, rt, v = buffer.advance(watermark)
+        # All groups of the partition are replayed on one clock, on which a group begins more than twice the
+        # tolerance behind the one before: whole batches are buffered, matched and evicted at once.
+        buffer, clock, last = NearestBuffer(tolerance_us), 0, None
+        waiting: pd.DataFrame | None = None
+
+        def out(watermark: int | None) -> pd.DataFrame:
+            nonlocal waiting
+            due = np.ones(len(waiting), bool) if watermark is None else buffer.left_t + tolerance_us < watermark
+            f, waiting = waiting[due].reset_index(drop=True), waiting[~due]
+            _, at, rid, rt, v = buffer.advance(watermark)
             ok = rid >= 0
-            f = pd.DataFrame({e: pd.Series([k] * len(ids), dtype=object) for e, k in zip(entity, key)})
-            f["left_id"], f["left_us"] = ids, lt
             f["right_id"] = pd.Series(rid, dtype="Int64").mask(~ok)
-            f["right_us"] = pd.Series(rt, dtype="Int64").mask(~ok)
+            f["right_us"] = pd.Series(f["left_us"].to_numpy() + rt - at, dtype="Int64").mask(~ok)
             f["value"] = v
-            # Repeats of a left row are neighbours in the replay and in the buffer.
-            again = np.zeros(len(f), bool)
-            again[1:] = (ids[1:] == ids[:-1]) & (lt[1:] == lt[:-1])
-            return f[~again & (ok | keep_unmatched)]
+            return f[ok | keep_unmatched]
 
         for b in batches:
             if not len(b):
                 continue
-            change = np.flatnonzero((b[keys].to_numpy()[1:] != b[keys].to_numpy()[:-1]).any(axis=1)) + 1
-            for a, z in zip([0, *change], [*change, len(b)]):
-                part = b.iloc[a:z]
-                key = tuple(part[keys].iloc[0])
-                if key != now:
-                    if now is not None:
-                        yield out(now, None)
-                    buffer, now = NearestBuffer(tolerance_us), key
-                is_left = part["side"].to_numpy() == 0
-                pt, pid, pv = part["t"].to_numpy(np.int64), part["id"].to_numpy(np.int64), part["v"].to_numpy(float)
-                buffer.add_left(pt[is_left], pid[is_left])
-                buffer.add_right(pt[~is_left], pid[~is_left], pv[~is_left])
-                if z == len(b):  # the group may go on in the next batch
-                    yield out(key, int(pt[-1]))
-        if now is not None:
-            yield out(now, None)
+            t, ids, v = b["t"].to_numpy(np.int64), b["id"].to_numpy(np.int64), b["v"].to_numpy(float)
+            is_left = b["side"].to_numpy() == 0
+            new = np.zeros(len(b), bool)
+            for k in keys:
+                x = b[k].to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            head = tuple(b[k].iloc[0] for k in keys)
+            new[0] = last is None or head != last[0]
+            step = np.diff(t, prepend=t[0] if last is None else last[1])
+            step[new] = 2 * tolerance_us + 1
+            now = clock + np.cumsum(step)
+            # Repeats of a left row are neighbours.
+            again = np.zeros(len(b), bool)
+            again[1:] = is_left[1:] & is_left[:-1] & ~new[1:] & (ids[1:] == ids[:-1]) & (t[1:] == t[:-1])
+            again[0] = last is not None and not new[0] and bool(is_left[0]) and last[1:] == (t[0], ids[0], True)
+            take = is_left & ~again
+            buffer.add_left(now[take], ids[take])
+            buffer.add_right(now[~is_left], ids[~is_left], v[~is_left])
+            rows = b.loc[take, list(entity)].copy()
+            rows["left_id"], rows["left_us"] = ids[take], t[take]
+            waiting = rows if waiting is None else pd.concat([waiting, rows])
+            clock, last = int(now[-1]), (tuple(b[k].iloc[-1] for k in keys), t[-1], ids[-1], bool(is_left[-1]))
+            yield out(clock)
+        if waiting is not None:
+            yield out(None)
 
     return both.mapInPandas(run, schema)
 
