@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.exprs import sdiv
 from barloom.operators.slots import SERIES
+from barloom.plans.grouped import map_groups
 
 RUN = (*SERIES, "segment_id")
 SIZE = 16_384
@@ -57,49 +58,55 @@ def non_overlapping(candidates: DataFrame, keys: Sequence[str], pos: str, block:
     kinds, columns = dict(c.dtypes), list(candidates.columns)
     key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
-    def outcomes(b: pd.DataFrame) -> pd.DataFrame:
-        ch = int(b["chunk_"].iloc[0])
-        at = np.sort(b[pos].to_numpy()) - ch * size
-        last = int(at[-1])
-        # From the last candidate back: how far the next chunk is blocked if position p is the first free one.
-        blocked = [0] * (last + 1)
-        taken = np.zeros(last + 1, bool)
-        taken[at] = True
-        for p in range(last, -1, -1):
-            q = p + (block if taken[p] else 1)
-            blocked[p] = blocked[q] if q <= last else max(0, q - size) if taken[p] else 0
-        nxt = blocked[:block] + [0] * (block - len(blocked))
-        head = b[list(keys)].iloc[:1].copy()
-        head["chunk_"], head["out_"] = ch, [nxt]
+    def outcomes(b: pd.DataFrame, first: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+        at = b[pos].to_numpy() - b["chunk_"].to_numpy() * size
+        rows = []
+        for a, z in zip(first, end):
+            p = at[a:z]
+            after = np.searchsorted(p, p + block).tolist()
+            # From the last candidate back: how far the next chunk is blocked once this one is taken.
+            out = [0] * (z - a + 1)
+            for i in range(z - a - 1, -1, -1):
+                out[i] = out[after[i]] if after[i] < z - a else max(0, int(p[i]) + block - size)
+            rows.append([out[i] for i in np.searchsorted(p, np.arange(block))])
+        head = b.iloc[first][[*keys, "chunk_"]].copy()
+        head["out_"] = rows
         return head
 
-    def threaded(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("chunk_")
-        starts, blocked, before = [], 0, None
-        for ch, out in zip(b["chunk_"], b["out_"]):
-            if before is not None and ch != before + 1:
-                blocked = 0  # a whole chunk without candidates lies between
-            starts.append(blocked)
-            blocked, before = int(out[blocked]), ch
+    def threaded(b: pd.DataFrame, first: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+        chunk, out, starts = b["chunk_"].tolist(), b["out_"].tolist(), []
+        for a, z in zip(first, end):
+            blocked, before = 0, None
+            for k in range(a, z):
+                if before is not None and chunk[k] != before + 1:
+                    blocked = 0  # a whole chunk without candidates lies between
+                starts.append(blocked)
+                blocked, before = int(out[k][blocked]), chunk[k]
+        b = b[[*keys, "chunk_"]].copy()
         b["free_"] = starts
-        return b[[*keys, "chunk_", "free_"]]
-
-    def scanned(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(pos)
-        at = b[pos].to_numpy() - int(b["chunk_"].iloc[0]) * size
-        free, keep = int(b["free_"].iloc[0]), np.zeros(len(b), bool)
-        i = int(np.searchsorted(at, free))
-        while i < len(at):
-            keep[i] = True
-            i = int(np.searchsorted(at, at[i] + block))
+        return b
+
+    def scanned(b: pd.DataFrame, first: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+        at = b[pos].to_numpy() - b["chunk_"].to_numpy() * size
+        # One axis on which groups lie further apart than a choice blocks.
+        axis = at + np.repeat(np.arange(len(first)) * (size + 2 * block), end - first)
+        after = np.searchsorted(axis, axis + block).tolist()
+        free = b["free_"].to_numpy()[first]
+        begin = np.searchsorted(axis, np.arange(len(first)) * (size + 2 * block) + free).tolist()
+        keep = np.zeros(len(b), bool)
+        for i, z in zip(begin, end.tolist()):
+            while i < z:
+                keep[i] = True
+                i = after[i]
         return b.loc[keep, columns]
 
     if block > size:
         raise ValueError("a chunk must be longer than what a choice blocks")
-    summary = c.select(*keys, "chunk_", pos).groupBy(*keys, "chunk_").applyInPandas(outcomes, f"{key_ddl}, chunk_ long, out_ array<int>")
-    free = summary.groupBy(*keys).applyInPandas(threaded, f"{key_ddl}, chunk_ long, free_ long")
+    chunk_keys = [*keys, "chunk_"]
+    summary = map_groups(c.select(*chunk_keys, pos), chunk_keys, [pos], outcomes, f"{key_ddl}, chunk_ long, out_ array<int>")
+    free = map_groups(summary, keys, ["chunk_"], threaded, f"{key_ddl}, chunk_ long, free_ long")
     ddl = ", ".join(f"`{x}` {t}" for x, t in candidates.dtypes)
-    return c.join(free, [*keys, "chunk_"]).groupBy(*keys, "chunk_").applyInPandas(scanned, ddl)
+    return map_groups(c.join(free, chunk_keys), chunk_keys, [pos], scanned, ddl)
 
 
 def trades(

@@ -11,10 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.plans.grouped import map_groups
+
 
 def span(n: float) -> float:
     return 2.0 / (n + 1)
@@ -57,15 +60,16 @@ def with_ewm(df: DataFrame, outputs: dict[str, tuple[str, float, int]], keys: Se
 
 def filled_ewm(df: DataFrame, outputs: dict[str, tuple[str, float, int]], keys: Sequence[str], order: str) -> DataFrame:
     """The same for inputs with values missing inside a run: a value after g missing ones meets the old average
-    at the weight (1-a)^(g+1), renormalised, and rows without a value carry the average on. Runs per group of
+    at the weight (1-a)^(g+1), renormalised, and rows without a value carry the average on. Whole groups of
     ``keys`` in Arrow batches; keep groups to chunks."""
     schema = df.schema
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [f"`{n}` double" for n in outputs])
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order, kind="stable")
+    def run(b: pd.DataFrame, first: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+        b = b.copy()
         for name, (x, alpha, least) in outputs.items():
-            b[name] = b[x].astype(float).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+            v = b[x].astype(float)
+            b[name] = np.concatenate([v.iloc[a:z].ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy() for a, z in zip(first, end)])
         return b
 
-    return df.groupBy(*keys).applyInPandas(run, fields)
+    return map_groups(df, keys, [order], run, fields)
