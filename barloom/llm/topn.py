@@ -136,7 +136,8 @@ def top_n(
             if rows:
                 yield pd.DataFrame(rows, columns=[*group, score, item])
 
-    kept = files.repartitionByRange("path").mapInPandas(run, schema)
+    # As many tasks as files: by the few bytes of their names adaptive execution would read them all in one.
+    kept = files.repartitionByRange(max(1, min(files.count(), 20_000)), "path").mapInPandas(run, schema)
     w = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(item))
     ranked = kept.withColumn("rank_no", F.row_number().over(w).cast("long"))
     return ranked.where(F.col("rank_no") <= n)
