@@ -15,21 +15,25 @@ from barloom.queries.bars import _S, BARS_SQL, bars
 RUN = (*SERIES, "segment_id")
 H = 4
 R = 1 + H
-SIGNAL = F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), -1).otherwise(0)
-SPOT = F.col("market") == "spot"
 
 
 def _shown(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _spot():
+    """Where only long trades are allowed."""
+    return F.col("market") == "spot"
+
+
 def _ruled(spark, d):
     """Bars with the rule that follows the bar's own direction."""
-    return bars(spark, d).withColumn("rule", SIGNAL)
+    rule = F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), -1).otherwise(0)
+    return bars(spark, d).withColumn("rule", rule)
 
 
 def _trades(spark, d):
-    return backtest.trades(_ruled(spark, d), "rule", H, long_only=SPOT)
+    return backtest.trades(_ruled(spark, d), "rule", H, long_only=_spot())
 
 
 def fw_path(spark, d):
@@ -47,7 +51,7 @@ def bt_excursion(spark, d):
 
 def _timeline(spark, d):
     b = _ruled(spark, d)
-    return backtest.timeline(b, backtest.trades(b, "rule", H, long_only=SPOT), H)
+    return backtest.timeline(b, backtest.trades(b, "rule", H, long_only=_spot()), H)
 
 
 def bt_timeline(spark, d):
@@ -84,7 +88,7 @@ def bt_multi(spark, d):
     long = s.select(*RUN, "slot_no", "pos", "open", "high", "low", "close", F.inline(F.array(*[F.struct(F.lit(r).alias("feature_id"), F.col(r).alias("rule")) for r in rules])))
     # The rule joins the key of a run, so one pass takes the trades of all rules.
     long = long.withColumn("timeframe", F.concat_ws("|", "timeframe", "feature_id"))
-    t = backtest.trades(long, "rule", H, long_only=SPOT)
+    t = backtest.trades(long, "rule", H, long_only=_spot())
     return _shown(t.groupBy("market", F.substring_index("timeframe", "|", -1).alias("feature_id")).agg(F.count("*").alias("trade_count"), F.avg("net").alias("mean_net")))
 
 
@@ -136,23 +140,24 @@ def sp_walk(spark, d):
     return splits.in_folds(bars(spark, d), F.col("pos"), folds).groupBy(*RUN, "fold", "part").agg(F.count("*").alias("n"))
 
 
-FEATURE = F.col("close") / F.nullif(F.col("open"), F.lit(0.0)) - 1
+def _feature():
+    return sdiv(F.col("close"), F.col("open")) - 1
 
 
 def _featured(spark, d):
     f = backtest.forward_paths(bars(spark, d), H).select(*RUN, "pos", "ret")
-    return _parted(spark, d).withColumn("feature", FEATURE).join(f, [*RUN, "pos"])
+    return _parted(spark, d).withColumn("feature", _feature()).join(f, [*RUN, "pos"])
 
 
 def mo_qfit(spark, d):
     """Quintile edges of the train part of each series."""
-    m = study.fit_quantiles(_parted(spark, d).where(F.col("part") == "train").withColumn("feature", FEATURE), SERIES, "feature", 5)
+    m = study.fit_quantiles(_parted(spark, d).where(F.col("part") == "train").withColumn("feature", _feature()), SERIES, "feature", 5)
     return m.select(*SERIES, F.posexplode("edges").alias("k", "edge")).withColumn("edge", F.round("edge", 9) + F.lit(0.0))
 
 
 def mo_qapply(spark, d):
     """How validation and test values fall into the quantiles of the train part."""
-    p = _parted(spark, d).withColumn("feature", FEATURE)
+    p = _parted(spark, d).withColumn("feature", _feature())
     m = study.fit_quantiles(p.where(F.col("part") == "train"), SERIES, "feature", 5)
     return study.apply_quantiles(p, m, SERIES, "feature").groupBy(*SERIES, "part", "quantile").agg(F.count("*").alias("n"))
 
@@ -209,7 +214,7 @@ def mo_overlap(spark, d):
 
 def mo_boot(spark, d):
     """Interval of each series' mean bar return."""
-    b = bars(spark, d).withColumn("r", F.least(F.greatest(FEATURE, F.lit(-1.0)), F.lit(1.0)))
+    b = bars(spark, d).withColumn("r", F.least(F.greatest(_feature(), F.lit(-1.0)), F.lit(1.0)))
     return _shown(study.bootstrap_blocks(b, SERIES, "r", "slot_no"), 8)
 
 
@@ -218,7 +223,7 @@ def mo_stability(spark, d):
     parts = None
     b = _ruled(spark, d)
     for h in (2, 4, 8):
-        t = backtest.trades(b, "rule", h, long_only=SPOT).groupBy("market").agg(F.avg("net").alias("score")).withColumn("holding", F.lit(h))
+        t = backtest.trades(b, "rule", h, long_only=_spot()).groupBy("market").agg(F.avg("net").alias("score")).withColumn("holding", F.lit(h))
         parts = t if parts is None else parts.unionByName(t)
     return _shown(study.stability(parts, ["market"], "holding", "score"))
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.grid import RANGE, audited_ranges, regular_grid
 from barloom.operators.parsing import failed_lines, loaded_bars, parse_bars
 from barloom.operators.rolling import rolling_totals
-from barloom.operators.slots import SERIES, readings, step_us
+from barloom.operators.slots import SERIES, slot_no, step_us
 from barloom.operators.spikes import flag_readings
 from barloom.operators.timestamps import normalised_times
 from barloom.sources.tables import table
 
 MEASURES = ("volume", "quote_volume", "taker_buy_volume")
-_slot_ms = (F.col("slot_no") * (step_us(F.col("timeframe")) / 1000)).cast("long").alias("slot_ms")
+
+
+def _slot_ms() -> Column:
+    return (F.col("slot_no") * (step_us(F.col("timeframe")) / 1000)).cast("long").alias("slot_ms")
 
 
 def _daily_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -67,13 +70,13 @@ def p4_unreadable(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     g = regular_grid(table(spark, d, "klines"), table(spark, d, "integrity_summary"))
     # A series may be audited in ranges that overlap; the marked slots are few.
-    return g.where(F.col("status") != "OBSERVED").select(*SERIES, _slot_ms).distinct()
+    return g.where(F.col("status") != "OBSERVED").select(*SERIES, _slot_ms()).distinct()
 
 
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     """One row per slot of each audited range, short gaps between closes filled by a straight line."""
     g = regular_grid(table(spark, d, "klines"), table(spark, d, "integrity_summary"), fill="linear")
-    return g.select(*SERIES, "from_no", _slot_ms, "close", "status", F.round("filled", 8).alias("filled"))
+    return g.select(*SERIES, "from_no", _slot_ms(), "close", "status", F.round("filled", 8).alias("filled"))
 
 
 def p6_missing(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +85,6 @@ def p6_missing(spark: SparkSession, d: str) -> DataFrame:
     g = regular_grid(table(spark, d, "klines"), audits)
     n = g.groupBy(*RANGE).agg(F.count_if(F.col("status") != "OBSERVED").alias("missing_now"), F.count("*").alias("slots"))
     rec = audits.join(audited_ranges(audits).select(*SERIES).distinct(), list(SERIES), "left_semi")
-    from barloom.operators.slots import slot_no
     rec = rec.select(*SERIES, slot_no(F.col("audited_from"), F.col("timeframe")).alias("from_no"),
                      slot_no(F.col("audited_to"), F.col("timeframe")).alias("to_no"), "missing_intervals")
     return n.join(rec, list(RANGE), "left").select(
@@ -91,7 +93,7 @@ def p6_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return flag_readings(table(spark, d, "klines")).select(*SERIES, _slot_ms, "kind")
+    return flag_readings(table(spark, d, "klines")).select(*SERIES, _slot_ms(), "kind")
 
 
 def p7_invariant(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +103,6 @@ def p7_invariant(spark: SparkSession, d: str) -> DataFrame:
     r = audited_ranges(audits)
     hits = flags.join(r, list(SERIES)).where(F.col("slot_no").between(F.col("from_no"), F.col("to_no")))
     n = hits.groupBy(*RANGE).agg(F.count("*").alias("impossible"))
-    from barloom.operators.slots import slot_no
     rec = audits.select(*SERIES, slot_no(F.col("audited_from"), F.col("timeframe")).alias("from_no"),
                         slot_no(F.col("audited_to"), F.col("timeframe")).alias("to_no"), "ohlc_invariant")
     return rec.join(n, list(RANGE), "left").select(
