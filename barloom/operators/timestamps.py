@@ -21,6 +21,7 @@ from barloom.operators.slots import micros, step_us
 from barloom.plans.materialize import measured_broadcast
 from barloom.sources.tables import require_columns
 
+_ADDED = ("open_ms", "close_ms", "open_status", "close_status", "tz_version")
 INSTANT = "early_ms long, late_ms long, status string"
 _SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "a" for r in (range(65, 91), range(97, 123)) for c in r}})
 _BLANKS = " \t\r\n"
@@ -256,17 +257,20 @@ def normalised_times(records: DataFrame, semantics: DataFrame) -> DataFrame:
     twice, the close is the latest candidate not behind received_at; without received_at the one that
     fits the open, else the earlier. The open is the candidate nearest to one timeframe before the
     close. Repeated rows stay repeated; an empty table stays empty; a dataset without a description is
-    read as one whose rows carry their own zone.
+    read as one whose rows carry their own zone. Columns of the added names are replaced.
     """
     require_columns(records, {"dataset", "timeframe", "open_time", "close_time", "received_at"})
     require_columns(semantics, {"dataset", "timestamp_semantics"})
     small = measured_broadcast(semantics.groupBy(F.col("dataset").alias("sem_dataset_")).agg(
         F.max("timestamp_semantics").alias("sem_")), row_bytes=256)
-    j = records.join(small, F.col("dataset") == F.col("sem_dataset_"), "left")
-    j = j.withColumn("o_", instants(F.col("open_time").cast("string"), F.col("sem_")))
-    j = j.withColumn("c_", instants(F.col("close_time").cast("string"), F.col("sem_")))
-    step, got = step_us(F.col("timeframe")) / 1000, micros(F.col("received_at")) / 1000
-    o, c = F.col("o_"), F.col("c_")
+    # The record travels as one column, so its other columns' names cannot clash with those used here.
+    kept = [F.col(x) for x in records.columns if x not in _ADDED]
+    r = records.select(
+        F.struct(*kept).alias("row_"), F.col("dataset").alias("ds_"), F.col("open_time").cast("string").alias("ot_"), F.col("close_time").cast("string").alias("ct_"),
+        (step_us(F.col("timeframe")) / 1000).alias("step_"), (micros(F.col("received_at")) / 1000).alias("got_"))
+    j = r.join(small, F.col("ds_") == F.col("sem_dataset_"), "left")
+    j = j.withColumn("o_", instants(F.col("ot_"), F.col("sem_"))).withColumn("c_", instants(F.col("ct_"), F.col("sem_")))
+    step, got, o, c = F.col("step_"), F.col("got_"), F.col("o_"), F.col("c_")
     twice = c["status"] == "AMBIGUOUS"
     close = (
         F.when(twice & got.isNotNull(), F.when(c["late_ms"] <= got, c["late_ms"]).otherwise(c["early_ms"]))
@@ -274,5 +278,5 @@ def normalised_times(records: DataFrame, semantics: DataFrame) -> DataFrame:
     j = j.withColumn("close_ms_", close.cast("long"))
     open_ = F.when((o["status"] == "AMBIGUOUS") & F.col("close_ms_").isNotNull(), _nearest(o, F.col("close_ms_") - step)).otherwise(o["early_ms"])
     return j.select(
-        *[F.col(x) for x in records.columns], open_.cast("long").alias("open_ms"), F.col("close_ms_").alias("close_ms"),
+        "row_.*", open_.cast("long").alias("open_ms"), F.col("close_ms_").alias("close_ms"),
         o["status"].alias("open_status"), c["status"].alias("close_status"), F.lit(zones.version()).alias("tz_version"))
