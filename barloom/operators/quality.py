@@ -29,7 +29,7 @@ def time_steps(bars: DataFrame, keys: Sequence[str] = SERIES, time: str = "open_
     per block, so a long series is no single task's work.
     """
     step = step_us(F.col("timeframe"))
-    t = bars.select(*keys, micros(F.col(time)).alias("us"), step.alias("step")).where(F.col("us").isNotNull() & F.col("step").isNotNull())
+    t = bars.where(F.col(time).isNotNull() & step.isNotNull()).select(*keys, micros(F.col(time)).alias("us"), step.alias("step"))
     t = t.withColumn("block", F.floor(F.col("us") / (F.col("step") * BLOCK)).cast("long"))
     t = t.groupBy(*keys, "step", "block", "us").agg(F.count("*").alias("copies"))
     w = Window.partitionBy(*keys, "step", "block").orderBy("us")

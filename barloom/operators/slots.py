@@ -32,22 +32,26 @@ def step_us(timeframe: Column) -> Column:
     return F.when(n > 0, n.cast("long") * scale)
 
 
+def _slot(us: Column, step: Column) -> Column:
+    # Both are below 2^53, so the quotient's floor is exact.
+    return F.floor((us + F.when(step == DAY_US, 0).otherwise(F.floor(step / 2))) / step).cast("long")
+
+
 def slot_no(open_time: Column, timeframe: Column) -> Column:
     """Number of the slot since 1970: of its UTC date for 1d, else the slot nearest to open_time."""
-    us, step = micros(open_time), step_us(timeframe)
-    return F.when(step == DAY_US, F.floor(us / F.lit(DAY_US))).otherwise(
-        (us + (step / 2).cast("long") - F.pmod(us + (step / 2).cast("long"), step)) / step
-    ).cast("long")
+    return _slot(micros(open_time), step_us(timeframe))
 
 
 def delivered(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Deliveries with their slot: SERIES, slot_no, ingested_us and the columns. Rows without a slot
     (null key, null open_time, unknown timeframe) belong to no series and are left out."""
     require_columns(bars, {*SERIES, "open_time", "ingested_at", *columns})
-    return bars.select(
-        *SERIES, slot_no(F.col("open_time"), F.col("timeframe")).alias("slot_no"),
-        micros(F.col("ingested_at")).alias("ingested_us"), *columns,
-    ).where(F.col("slot_no").isNotNull() & F.col("market").isNotNull() & F.col("symbol").isNotNull())
+    there = F.col("market").isNotNull() & F.col("symbol").isNotNull() & F.col("open_time").isNotNull()
+    # The filter stands on the columns as read: on the slot it would be computed once more, without
+    # common subexpressions. Time and step get a projection of their own for the same reason.
+    d = bars.where(there & step_us(F.col("timeframe")).isNotNull()).select(
+        *SERIES, micros(F.col("open_time")).alias("us_"), step_us(F.col("timeframe")).alias("step_"), micros(F.col("ingested_at")).alias("ingested_us"), *columns)
+    return d.select(*SERIES, _slot(F.col("us_"), F.col("step_")).alias("slot_no"), "ingested_us", *columns)
 
 
 def readings(bars: DataFrame, columns: Sequence[str], halo: int = 0, block: int = BLOCK) -> DataFrame:

@@ -49,7 +49,7 @@ def test_one_text(text, semantics, want):
 @pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kolkata", "Europe/London", "UTC"])
 def test_zones_against_the_standard_library(zone):
     z = ZoneInfo(zone)
-    wall = [datetime(2016, 1, 1) + timedelta(minutes=30 * i) for i in range(0, 17520, 1)]
+    wall = [datetime(2016, 1, 1) + timedelta(minutes=30 * i) for i in range(0, 17520, 5)]
     early, late, n = to_instants(np.array([int(w.replace(tzinfo=UTC).timestamp()) for w in wall]), zone)
     for w, e, la, k in zip(wall, early, late, n):
         back = {int(w.replace(tzinfo=z, fold=f).timestamp()) for f in (0, 1)}
