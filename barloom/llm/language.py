@@ -140,19 +140,22 @@ class LanguageModel:
 
 
 def _counted(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Word counts per language over the sample's prose: by label, or as a model reads each block."""
+    """Documents per language and word over the sample's prose: by label, or as a model reads each block. A
+    document counts once, so a long one with a wrong label weighs no more than a short one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for b in batches:
             for code, text in zip(b["code"], b["text"]):
+                seen: set = set()
                 for _, words in prose_blocks(text):
                     c = code
                     if model:
                         if len(words) < 5:
                             continue
                         c = model.codes[model.judge(words)[0]]
-                    counts.update((c, w) for w in words)
+                    seen.update((c, w) for w in words)
+                counts.update(seen)
         yield pd.DataFrame([(c, w[:100], n) for (c, w), n in counts.items()], columns=["code", "word", "n"])
 
     return documents.mapInPandas(run, "code string, word string, n long").groupBy("code", "word").agg(F.sum("n").alias("n"))
