@@ -1,5 +1,5 @@
 """Registered queries and, where SQL can express them, the same as DuckDB SQL."""
 
-from barloom.queries import bars, relational, research, training
+from barloom.queries import bars, ingest, relational, research, training
 
-MODULES = [training, bars, relational, research]
+MODULES = [training, bars, relational, research, ingest]
