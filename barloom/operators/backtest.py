@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from barloom.functions.exprs import sdiv
 from barloom.operators.slots import SERIES
 from barloom.plans.grouped import map_groups
+from barloom.plans.materialize import written
 
 RUN = (*SERIES, "segment_id")
 SIZE = 16_384
@@ -54,7 +55,8 @@ def non_overlapping(candidates: DataFrame, keys: Sequence[str], pos: str, block:
     a number below ``block``. Each chunk first reports its outcome for every such number; the
     chunks of one run are then threaded on that summary, and each chunk scans once, all in parallel.
     """
-    c = candidates.withColumn("chunk_", F.floor(F.col(pos) / F.lit(size)).cast("long"))
+    # Read twice, by the chunks' summaries and by the scan: written once, what precedes runs once.
+    c = written(candidates.withColumn("chunk_", F.floor(F.col(pos) / F.lit(size)).cast("long")), "candidates")
     kinds, columns = dict(c.dtypes), list(candidates.columns)
     key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 

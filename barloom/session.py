@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import sys
+
 from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution and skew-join splitting on."""
+    # Workers run the interpreter of the driver, not whatever wrapper comes first on the path.
+    os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
