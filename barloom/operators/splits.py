@@ -39,13 +39,48 @@ def walk_forward(n: int, min_train: int, validation: int, test: int, step: int,
     return folds
 
 
-def in_folds(df: DataFrame, pos: Column, folds: list[dict[str, int]]) -> DataFrame:
-    """``df`` once per fold and part a row belongs to: adds fold and part. Folds are a few numbers; no join."""
-    tags = []
-    for f in folds:
-        part = F.when(pos < f["train_to"], "train").when((pos >= f["validation_from"]) & (pos < f["validation_to"]), "validation").when((pos >= f["test_from"]) & (pos < f["test_to"]), "test")
-        tags.append(F.when(part.isNotNull(), F.struct(F.lit(f["fold"]).alias("fold"), part.alias("part"))))
-    return df.select("*", F.inline(F.array_compact(F.array(*tags)))) if tags else df.where("false").withColumns({"fold": F.lit(0), "part": F.lit("")})
+def _fold_parts(min_train: int, validation: int, test: int, embargo: int) -> list[tuple[str, int, int]]:
+    """Part, first and end position in fold 0; the train part begins at 0 in every fold."""
+    v = min_train + embargo
+    t = v + validation + embargo
+    return [("train", 0, min_train), ("validation", v, v + validation), ("test", t, t + test)]
+
+
+def _last_fold(n: Column, stop: int, step: int) -> Column:
+    """Number of the last fold whose test part, which ends at ``stop`` in fold 0, ends within n rows; -1 if none does."""
+    return F.when(n >= stop, F.floor((n - stop) / F.lit(step))).otherwise(-1).cast("long")
+
+
+def _from_to(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _tagged(folds: Column, part: str) -> Column:
+    return F.transform(folds, lambda k: F.struct(k.cast("int").alias("fold"), F.lit(part).alias("part")))
+
+
+def fold_table(df: DataFrame, n: Column, min_train: int, validation: int, test: int, step: int, embargo: int = 0) -> DataFrame:
+    """``df``, one row per series of n rows, once per fold and part that ``walk_forward`` lays over n: adds fold, part,
+    first and end (excluded). Nothing is built per fold on the driver, so n may be of any size."""
+    walk_forward(0, min_train, validation, test, step, embargo)
+    parts = _fold_parts(min_train, validation, test, embargo)
+    k = F.col("fold").cast("long") * step
+    rows = [F.struct(F.lit(p).alias("part"), (F.lit(a) + (0 if p == "train" else k)).cast("long").alias("first"), (F.lit(b) + k).cast("long").alias("end")) for p, a, b in parts]
+    folds = df.select("*", F.explode(_from_to(F.lit(0).cast("long"), _last_fold(n, parts[-1][2], step))).alias("fold"))
+    return folds.withColumn("fold", F.col("fold").cast("int")).select("*", F.inline(F.array(*rows)))
+
+
+def in_folds(df: DataFrame, pos: Column, n: Column, min_train: int, validation: int, test: int, step: int, embargo: int = 0) -> DataFrame:
+    """``df`` once per fold and part a row belongs to, of the folds ``walk_forward`` lays over n rows: adds fold and
+    part. A row's folds follow from its position; no join. Train parts grow, so a row is in all later ones."""
+    walk_forward(0, min_train, validation, test, step, embargo)
+    parts, tags = _fold_parts(min_train, validation, test, embargo), []
+    last = _last_fold(n, parts[-1][2], step)
+    for part, a, b in parts:
+        low = F.greatest(F.lit(0), F.floor((pos - b) / F.lit(step)) + 1).cast("long")
+        high = last if part == "train" else F.least(last, F.floor((pos - a) / F.lit(step)).cast("long"))
+        tags.append(_tagged(_from_to(low, high), part))
+    return df.select("*", F.inline(F.concat(*tags)))
 
 
 def purge_bars(hours: float, minutes_per_bar: float) -> int:

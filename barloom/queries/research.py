@@ -134,10 +134,19 @@ def sp_global(spark, d):
     return c.groupBy(*SERIES, "part").agg(F.count("*").alias("n"))
 
 
+FOLDS = (100, 50, 50, 100, 5)
+
+
 def sp_walk(spark, d):
-    """Rows of each segment in walk-forward folds of its first 500 positions."""
-    folds = splits.walk_forward(500, 100, 50, 50, 100, 5)
-    return splits.in_folds(bars(spark, d), F.col("pos"), folds).groupBy(*RUN, "fold", "part").agg(F.count("*").alias("n"))
+    """Rows of each segment in walk-forward folds of its first 500 positions (sp_walk_all has those of all)."""
+    return splits.in_folds(bars(spark, d), F.col("pos"), F.lit(500), *FOLDS).groupBy(*RUN, "fold", "part").agg(F.count("*").alias("n"))
+
+
+def sp_walk_all(spark, d):
+    """Rows of each segment in the walk-forward folds over its whole length. A segment has no holes, so a part's rows
+    are its positions."""
+    folds = splits.fold_table(segment_table(bars(spark, d)), F.col("bars"), *FOLDS)
+    return folds.select(*RUN, "fold", "part", (F.col("end") - F.col("first")).alias("n"))
 
 
 def _feature():
@@ -293,6 +302,10 @@ SELECT market, symbol, timeframe, bars, {_r('mean', 5)} AS mean, {_r('deviation'
   WHEN slot_no * st >= 1672531200000000 + 86400000000 THEN 'test' ELSE 'purged' END AS part, count(*) AS n FROM bars GROUP BY ALL""",
     "sp_walk": f"""WITH {BARS_SQL}, folds AS (SELECT k::INT AS fold, 100 + 100 * k AS a FROM range(0, 3) t(k)),
 tagged AS (SELECT {_K}, fold, CASE WHEN pos < a THEN 'train' WHEN pos >= a + 5 AND pos < a + 55 THEN 'validation' WHEN pos >= a + 60 AND pos < a + 110 THEN 'test' END AS part FROM bars CROSS JOIN folds)
+SELECT {_K}, fold, part, count(*) AS n FROM tagged WHERE part IS NOT NULL GROUP BY ALL""",
+    "sp_walk_all": f"""WITH {BARS_SQL}, sized AS (SELECT *, count(*) OVER (PARTITION BY {_K}) AS bars FROM bars),
+folds AS (SELECT k::INT AS fold, 100 + 100 * k AS a FROM range(0, (SELECT max(bars) FROM sized) // 100 + 1) t(k)),
+tagged AS (SELECT {_K}, fold, CASE WHEN pos < a THEN 'train' WHEN pos >= a + 5 AND pos < a + 55 THEN 'validation' WHEN pos >= a + 60 AND pos < a + 110 THEN 'test' END AS part FROM sized JOIN folds ON a + 110 <= bars)
 SELECT {_K}, fold, part, count(*) AS n FROM tagged WHERE part IS NOT NULL GROUP BY ALL""",
     "mo_qfit": f"WITH {BARS_SQL}, {_PART} SELECT market, symbol, timeframe, unnest(range(len(edges)))::INT AS k, round(unnest(list_sort(edges)), 9) + 0.0 AS edge FROM model",
     "mo_qapply": f"""WITH {BARS_SQL}, {_PART} SELECT p.market, p.symbol, p.timeframe, part, CASE WHEN feature IS NOT NULL THEN len(list_filter(edges, lambda e: e <= feature)) + 1 END::INT AS quantile, count(*) AS n

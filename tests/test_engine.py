@@ -238,3 +238,19 @@ def test_measured_broadcast(spark):
     small = written(spark.range(10).withColumn("x", F.lit("a")), "t")
     assert "broadcast" in spark.range(10).join(measured_broadcast(small), "id")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert measured_broadcast(small, rows=5) is small
+
+
+@pytest.mark.parametrize("shape", [(100, 50, 50, 100, 5), (10, 7, 9, 4, 2)])
+def test_folds_cover_the_whole_length(spark, shape):
+    lengths = [1, 27, 209, 210, 500, 850, 1500]
+    n = spark.createDataFrame([(x,) for x in lengths], "n long")
+    want = {}
+    for x in lengths:
+        for f in splits.walk_forward(x, *shape):
+            want |= {(x, f["fold"], "train"): (0, f["train_to"]), (x, f["fold"], "validation"): (f["validation_from"], f["validation_to"]), (x, f["fold"], "test"): (f["test_from"], f["test_to"])}
+    got = {(r["n"], r["fold"], r["part"]): (r["first"], r["end"]) for r in splits.fold_table(n, F.col("n"), *shape).collect()}
+    assert got == want
+    rows = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("p"))
+    tagged = splits.in_folds(rows, F.col("p"), F.col("n"), *shape).groupBy("n", "fold", "part").agg(F.min("p").alias("a"), F.max("p").alias("z"), F.count("*").alias("c")).collect()
+    assert {(r["n"], r["fold"], r["part"]): (r["a"], r["z"] + 1) for r in tagged} == want and all(r["c"] == r["z"] + 1 - r["a"] for r in tagged)
+    assert splits.fold_table(n, F.col("n"), *shape).agg(F.max("end")).first()[0] > 1500 - shape[3] - 1
