@@ -144,7 +144,18 @@ class ItemIndex:
 
     def verify(self, words: list[bytes], starts: np.ndarray, region: tuple) -> tuple[int, int, int]:
         """Best alignment of document and item words inside the region's band: (item words matched with
-        at most ``edits`` changed words between them, word of the document and of the item where it ends)."""
+        at most ``edits`` changed words between them, word of the document and of the item where it ends).
+        Nothing matched if no passage of ``min_words`` item words, changed ones included, lies there."""
+        best = self._align(words, starts, region, 0)
+        if best[0] >= self.min_words:
+            return best
+        # With a changed word in the passage fewer match; then the item's words count, matched or not.
+        whole = self.edits and best[0] >= self.min_words - self.edits and self._align(words, starts, region, 1)[0] >= self.min_words
+        return best if whole else (0, -1, -1)
+
+    def _align(self, words: list[bytes], starts: np.ndarray, region: tuple, changed: int) -> tuple[int, int, int]:
+        """Longest alignment, and the document and item word where it ends; an item word that the document changed
+        or left out counts as ``changed``, at the ends of a passage too, an inserted document word as nothing."""
         it, d0, d1, p0, p1 = region
         iw = self.words[it]
         i_start = np.cumsum([0] + [len(w) + 1 for w in iw[:-1]])
@@ -159,11 +170,14 @@ class ItemIndex:
             j1 = min(len(iw), int(np.searchsorted(i_start, x - d0 + slack, "right")))
             for j in range(j0, j1):
                 diag = before.get(j - 1, none)
+                if changed:
+                    # A passage may begin with item words that the document left out.
+                    diag = [max(v, min(e, j)) for e, v in enumerate(diag)]
                 if words[a] == iw[j]:
                     m = [v + 1 for v in diag]
                 else:
                     up, left = before.get(j, none), row.get(j - 1, none)
-                    m = [0] + [max(diag[e], up[e], left[e]) for e in range(self.edits)]
+                    m = [0] + [max(diag[e] + changed, up[e], left[e] + changed) for e in range(self.edits)]
                 row[j] = m
                 if m[-1] > best[0]:
                     best = (m[-1], a, j)
@@ -182,7 +196,7 @@ class ItemIndex:
             starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
             for r in regions:
                 best = self.verify(words, starts, r)
-                if best[0] >= self.min_words and best > found.get(r[0], (0, -1, -1)):
+                if best[0] and best > found.get(r[0], (0, -1, -1)):
                     found[r[0]] = best
         return found
 
@@ -191,7 +205,8 @@ def leaked_items(
     documents: DataFrame, items: DataFrame, min_words: int = 12, edits: int = 0, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """One row per document and leaked item (FOUND): words matched, and where in document and item the
-    passage ends, counted in words from 0.
+    passage ends, counted in words from 0. With ``edits`` a passage has ``min_words`` consecutive item words of which
+    so many may be changed, left out or have a word put before them, so fewer than ``min_words`` may match.
 
     Null and empty texts, and items shorter than ``min_words`` words, leak nothing. Repeated documents
     give repeated rows; an empty table on either side gives no rows; other columns are ignored. Whole

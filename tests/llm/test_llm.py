@@ -198,6 +198,44 @@ def test_edits_keep_the_bound():
         assert i in ix.search("before it " + " ".join(w) + " and after")
 
 
+def near(a, b):
+    """Fewest words changed, left out or put in that make a of b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(prev + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def near_brute(doc, item, n=12, edits=1):
+    d, w = plain_words(doc).split(), plain_words(item).split()
+    return any(near(w[k:k + n], d[i:i + m]) <= edits for k in range(len(w) - n + 1) for m in range(n - edits, n + edits + 1) for i in range(len(d) - m + 1))
+
+
+def test_twelve_words_with_one_changed_against_brute_force():
+    rng = random.Random(6)
+    item = " ".join(rng.sample(WORDS, 20))
+    ix, seen = ItemIndex([1], [item], 12, 1), set()
+    for n in (10, 11, 12):
+        for at in range(n):
+            for kind in ("same", "changed", "left out", "put in", "twice"):
+                w = item.split()[4:4 + n]
+                if kind == "changed":
+                    w[at] = "unheard"
+                elif kind == "left out":
+                    del w[at]
+                elif kind == "put in":
+                    w.insert(at, "unheard")
+                elif kind == "twice":
+                    w[at] = w[(at + 5) % n] = "unheard"
+                doc = "before it " + " ".join(w) + " and after"
+                want = near_brute(doc, item)
+                seen.add((kind, n, want))
+                assert (0 in ix.search(doc)) == want, (kind, n, at)
+    assert ("changed", 12, True) in seen and ("changed", 11, False) in seen and ("put in", 11, False) in seen
+
+
 # --- languages
 
 TEXTS = {
