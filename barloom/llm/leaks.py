@@ -90,8 +90,15 @@ class ItemIndex:
         joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         self.bound, self.base = np.array(bound, np.int64), np.array(base[:-1], np.int64)
         self.starts, self.ends = joined(starts), joined(ends)
-        # Shared q-grams of one passage follow each other at most so far apart.
-        self.gap = 1 if not edits else edits * (max(longest) + 1) + Q
+        # A document word longer than all item words is a changed one whatever its end: it is cut to ``most`` letters,
+        # one more than any item word has, so that no word moves what follows it by more than ``most`` and a space.
+        most = max(longest) + 1
+        self.cut, self.kept = re.compile(rb"([^ ]{%d})[^ ]+" % most), rb"\1"
+        # Shared q-grams of one passage follow each other at most so far apart, on diagonals at most ``shift`` apart;
+        # its words without a shared q-gram lie at most ``reach`` outside.
+        self.reach, self.shift = edits * (most + Q), edits * (most + 1)
+        self.gap = self.reach if edits else 1
+        self.band = max(BAND, 2 * self.shift) if edits else 1
         self.slack = edits * (max(longest) + Q)
         c = joined(codes)
         order = np.argsort(c, kind="stable")
@@ -124,9 +131,9 @@ class ItemIndex:
         o = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, pos = self.item[o].astype(np.int64), self.pos[o].astype(np.int64)
         diagonal, out = p - pos, []
-        for shift in (0, BAND // 2) if self.edits else (0,):
+        for shift in (0, self.band // 2) if self.edits else (0,):
             # Without edits a passage keeps to one diagonal, and so does its band.
-            band = (diagonal + shift + (1 << 30)) // (BAND if self.edits else 1)
+            band = (diagonal + shift + (1 << 30)) // self.band
             key = (item << 40) + band
             order = np.lexsort((p, key))
             kk, pp, ii, dd = key[order], p[order], pos[order], diagonal[order]
@@ -159,9 +166,9 @@ class ItemIndex:
         it, d0, d1, p0, p1 = region
         iw = self.words[it]
         i_start = np.cumsum([0] + [len(w) + 1 for w in iw[:-1]])
-        lo = max(0, int(np.searchsorted(starts, p0, "right")) - 2)
-        hi = min(len(words), int(np.searchsorted(starts, p1 + Q, "right")) + 1)
-        slack = self.edits * 2 * (max(map(len, iw)) + 1)
+        lo = max(0, int(np.searchsorted(starts, p0 - self.reach, "right")) - 2)
+        hi = min(len(words), int(np.searchsorted(starts, p1 + Q + self.reach, "right")) + 1)
+        slack = max(self.shift, self.edits * 2 * (max(map(len, iw)) + 1))
         best, none = (0, -1, -1), [0] * (self.edits + 1)
         before: dict[int, list[int]] = {}
         for a in range(lo, hi):
@@ -190,6 +197,8 @@ class ItemIndex:
         if not text or not self.ids:
             return found
         plain = plain_words(text)
+        if self.edits:
+            plain = self.cut.sub(self.kept, plain)
         regions = self.regions(_grams(plain))
         if regions:
             words = plain.split(b" ")

@@ -236,6 +236,32 @@ def test_twelve_words_with_one_changed_against_brute_force():
     assert ("changed", 12, True) in seen and ("changed", 11, False) in seen and ("put in", 11, False) in seen
 
 
+def test_long_words_changed_or_put_in_against_brute_force():
+    rng = random.Random(7)
+    for long in (0, 30):
+        # An item word of 30 letters makes the document's words of up to 30 letters move diagonals further than 16.
+        item = " ".join([*rng.sample(WORDS, 20), *["l" * long] * bool(long)])
+        ix = ItemIndex([1], [item], 12, 1)
+        for n in (14, 15, 16, 31, 60, 400):
+            for size in (11, 12):
+                for at in range(1, size):
+                    for put_in in (False, True):
+                        w = item.split()[4:4 + size]
+                        w[at:at + (not put_in)] = ["z" * n]
+                        doc = "before it " + " ".join(w) + " and after"
+                        assert (0 in ix.search(doc)) == near_brute(doc, item), (long, n, size, at, put_in)
+
+
+def test_short_words_before_a_changed_one():
+    item = "a b cellar d e f g h i j k l m n o p q r s t"
+    ix = ItemIndex([1], [item], 12, 1)
+    for at in range(12):
+        w = item.split()[:12]
+        w[at] = "z" * 20
+        doc = "before it " + " ".join(w) + " and after"
+        assert (0 in ix.search(doc)) == near_brute(doc, item), at
+
+
 # --- languages
 
 TEXTS = {
