@@ -147,9 +147,11 @@ def _convert_number(texts, at, sem, bad):
     if sem.number == "none":
         return bad
     codes, width = _codes(texts), at["i"][1] - at["i"][0]
-    if width == 19 and (texts.astype(f"U{at['i'][1]}") > "9223372036854775807").any():
-        return bad
-    whole, sign = _digits(codes, at["i"]), -1 if "neg" in at else 1
+    whole, sign, count = _digits(codes, at["i"]), -1 if "neg" in at else 1, np.ones(len(texts), np.int64)
+    if width == 19:
+        # Digits beyond a long make their own rows unreadable, no others.
+        over = np.array([t[slice(*at["i"])] > "9223372036854775807" for t in texts])
+        whole[over], count[over] = 0, -1
     if sem.number == "serial":
         if width > 7:
             return bad
@@ -165,7 +167,7 @@ def _convert_number(texts, at, sem, bad):
             ms = sign * (whole * 1000 + _scaled(codes, at.get("f"), 3))
         else:
             ms = sign * whole if unit == 1 else (sign * whole) // -unit
-    return ms, ms, np.ones(len(texts), np.int64)
+    return ms, ms, count
 
 
 def _convert_date(texts, at, sem, bad):

@@ -46,6 +46,12 @@ def test_one_text(text, semantics, want):
     assert (None if pd.isna(r.early_ms) else int(r.early_ms)) == want
 
 
+def test_numbers_beyond_a_long_take_no_others_along():
+    texts = ["1646469927035999999", "9999999999999999999", "9223372036854775807", "9223372036854775808", "-1646469927035000000", "-9999999999999999999"]
+    got = convert(pd.Series(texts, dtype=object), pd.Series([EPOCH] * len(texts), dtype=object)).early_ms
+    assert [None if pd.isna(x) else int(x) for x in got] == [1646469927035, None, 9223372036854, None, -1646469927035, None]
+
+
 @pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kolkata", "Europe/London", "UTC"])
 def test_zones_against_the_standard_library(zone):
     z = ZoneInfo(zone)
