@@ -8,6 +8,7 @@ so it is fitted twice, the second time on blocks as the first model reads them.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,7 +16,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ from barloom.sources.tables import require_columns
 
 #: Labelled documents the model is fitted on, at most; words and n-grams kept per language, at most.
 SAMPLE, WORDS, GRAMS = 6_000, 20_000, 20_000
-#: Files of the table that the sample is drawn from, at most.
-FILES = 64
+#: Documents of a language in the sample, about, where the table has so many: no labelled language is unknown to the model.
+LEAST = 50
 LONGEST_GRAM, UNSEEN_KEPT = 5, 200_000
 LABELLED = "doc_id long, block_no long, lang_code string, confidence double, words long"
 
@@ -192,31 +192,17 @@ def _model(counts: DataFrame) -> LanguageModel | None:
         codes, {w: log(v, total_w, scale) for w, v in words.items()}, {g: log(v, by_length[len(g)], scale) for g, v in kept.items()})
 
 
-def _some_files(documents: DataFrame, most: int) -> DataFrame:
-    """The rows of at most ``most`` of the files a table lies in, taken evenly from their list; all rows where the
-    table has no more files or none can be named."""
-    files = sorted(documents.inputFiles())
-    if len(files) <= most:
-        return documents
-    chosen = [files[i * len(files) // most] for i in range(most)]
-    try:
-        # A filter on the file's name leaves the other files unopened.
-        return documents.where(F.col("_metadata.file_path").isin(chosen))
-    except AnalysisException:
-        return documents
-
-
-def fit_languages(documents: DataFrame, sample: int = SAMPLE, rounds: int = 2, files: int = FILES) -> LanguageModel | None:
-    """The model of the labelled documents, at most about ``sample`` of them, drawn by hash of doc_id from at most
-    ``files`` of the table's files, so that fitting reads a bounded part of it, once. None if no document
-    has a readable label."""
-    documents = _some_files(documents, files)
+def fit_languages(documents: DataFrame, sample: int = SAMPLE, rounds: int = 2) -> LanguageModel | None:
+    """The model of the labelled documents, about ``sample`` of them at most and LEAST more per language, drawn by
+    hash of doc_id from those of the whole table. All of a table with no more are taken. Two passes, one to count.
+    None if no document has a readable label."""
     labelled = documents.select("doc_id", "text", language_code(F.col("lang")).alias("code")).where(
         F.col("code").isNotNull() & F.col("text").isNotNull())
-    n = max(1, documents.count())
+    count = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}
+    n = sum(count.values())
     if n > sample:
-        share = int(sample / n * 1_000_000)
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
+        share = F.create_map(*[F.lit(x) for c, k in count.items() for x in (c, math.ceil(max(sample / n, min(1, LEAST / k)) * 1_000_000_000))])
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000_000)) < F.element_at(share, F.col("code")))
     labelled = written(labelled.select("code", "text"), "sample")
     model = _model(_counted(labelled, None))
     for _ in range(rounds - 1):

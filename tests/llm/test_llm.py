@@ -297,6 +297,26 @@ def test_languages(spark, labelled):
     assert {r.lang_code for r in label_languages(labelled.drop("lang").withColumn("lang", labelled["doc_id"].cast("string"))).collect()} == {None}
 
 
+def test_the_sample_is_drawn_from_labelled_rows_of_all_files(spark, tmp_path, monkeypatch):
+    from barloom.llm import language
+
+    # 70 files; Russian is in one of them only. One row in ten has a label.
+    rows = [(f * 100 + k, TEXTS[c], c if k % 10 == 0 else None) for f in range(70) for k in range(20) for c in ["ru" if f == 11 else ("en", "de", "fr")[f % 3]]]
+    schema = "doc_id long, text string, lang string"
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 70), schema).write.parquet(str(tmp_path / "d"))
+    docs, kept, write = spark.read.parquet(str(tmp_path / "d")), [], language.written
+    assert len(docs.inputFiles()) == 70
+
+    def counted(df, name):
+        kept.append((out := write(df, name)).count())
+        return out
+
+    monkeypatch.setattr(language, "written", counted)
+    assert fit_languages(docs, sample=200).codes == ["de", "en", "fr", "ru"] and kept == [140]
+    monkeypatch.setattr(language, "LEAST", 2, raising=False)
+    assert "ru" in fit_languages(docs, sample=60).codes and 30 < kept[1] < 100
+
+
 def test_unseen_words_back_off():
     grams = {"^ch": np.array([0.0, -3.0]), "sch": np.array([-1.0, -9.0]), "e": np.array([-2.0, -2.5])}
     m = LanguageModel(["de", "fr"], {}, grams)
