@@ -221,6 +221,13 @@ def mo_overlap(spark, d):
     return _shown(study.overlap_pairs(b, SERIES, ("up", "busy", "flat")))
 
 
+def mo_overlap_signals(spark, d):
+    """Overlap of every two of the fourteen rules by series."""
+    from barloom.queries.bars import context_bars
+    s = signals(indicators(context_bars(spark, d)))
+    return _shown(study.overlap_pairs(s, SERIES, [c for c in s.columns if c.startswith("sig_")]))
+
+
 def mo_boot(spark, d):
     """Interval of each series' mean bar return."""
     b = bars(spark, d).withColumn("r", F.least(F.greatest(_feature(), F.lit(-1.0)), F.lit(1.0)))

@@ -254,3 +254,12 @@ def test_folds_cover_the_whole_length(spark, shape):
     tagged = splits.in_folds(rows, F.col("p"), F.col("n"), *shape).groupBy("n", "fold", "part").agg(F.min("p").alias("a"), F.max("p").alias("z"), F.count("*").alias("c")).collect()
     assert {(r["n"], r["fold"], r["part"]): (r["a"], r["z"] + 1) for r in tagged} == want and all(r["c"] == r["z"] + 1 - r["a"] for r in tagged)
     assert splits.fold_table(n, F.col("n"), *shape).agg(F.max("end")).first()[0] > 1500 - shape[3] - 1
+
+
+def test_rules_overlap(spark):
+    from conftest import DATA
+
+    from barloom.queries.research import mo_overlap_signals
+
+    got = mo_overlap_signals(spark, str(DATA))
+    assert got.select("a", "b").distinct().count() == 14 * 13 // 2
