@@ -115,7 +115,7 @@ def ag_family(spark, d):
     from pyspark.sql import Window
     b = bt_baselines(spark, d).groupBy(*SERIES).agg(F.avg("net").alias("net"))
     w = Window.partitionBy("market", "timeframe")
-    return _shown(b.select(*SERIES, F.max("net").over(w).alias("best"), F.avg((F.col("net") > 0).cast("double")).over(w).alias("positive_share")))
+    return _shown(b.select(*SERIES, F.max("net").over(w).alias("best"), F.percentile("net", F.lit(0.5)).over(w).alias("median"), F.avg((F.col("net") > 0).cast("double")).over(w).alias("positive_share")))
 
 
 def _parted(spark, d):

@@ -263,3 +263,12 @@ def test_rules_overlap(spark):
 
     got = mo_overlap_signals(spark, str(DATA))
     assert got.select("a", "b").distinct().count() == 14 * 13 // 2
+
+
+def test_family_has_its_median(spark, klines, tmp_path):
+    from barloom.queries.research import ag_family
+
+    rows = [(s, i, c, 1, {"open": 100.0, "high": 300.0, "low": 50.0}) for s, c in (("A", 110.0), ("B", 120.0), ("C", 300.0)) for i in range(3)]
+    klines(rows).write.parquet(str(tmp_path / "klines.parquet"))
+    got = ag_family(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and all(r["best"] == pytest.approx(2 - 0.0014) and r["median"] == pytest.approx(0.2 - 0.0014) for r in got)
