@@ -230,7 +230,7 @@ def mo_overlap_signals(spark, d):
 
 def mo_boot(spark, d):
     """Interval of each series' mean bar return."""
-    b = bars(spark, d).withColumn("r", F.least(F.greatest(_feature(), F.lit(-1.0)), F.lit(1.0)))
+    b = bars(spark, d).withColumn("r", _feature())
     return _shown(study.bootstrap_blocks(b, SERIES, "r", "slot_no"), 8)
 
 

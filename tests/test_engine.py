@@ -272,3 +272,10 @@ def test_family_has_its_median(spark, klines, tmp_path):
     klines(rows).write.parquet(str(tmp_path / "klines.parquet"))
     got = ag_family(spark, str(tmp_path)).collect()
     assert len(got) == 3 and all(r["best"] == pytest.approx(2 - 0.0014) and r["median"] == pytest.approx(0.2 - 0.0014) for r in got)
+
+
+def test_bar_returns_are_not_clipped(spark, klines, tmp_path):
+    from barloom.queries.research import mo_boot
+
+    klines([("A", i, 100.0, 1, {"open": 20.0, "high": 100.0, "low": 20.0} if i == 3 else None) for i in range(8)]).write.parquet(str(tmp_path / "klines.parquet"))
+    assert mo_boot(spark, str(tmp_path)).first()["mean"] == pytest.approx(4 / 8)
