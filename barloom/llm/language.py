@@ -29,12 +29,21 @@ LEAST = 50
 LONGEST_GRAM, UNSEEN_KEPT = 5, 200_000
 LABELLED = "doc_id long, block_no long, lang_code string, confidence double, words long"
 
-# Names and codes of the languages, as labels write them.
+# The two-letter codes of ISO 639-1 ("na", which labels use for "not available", left out), and longer codes and
+# names of the languages most often met. Languages beyond these names are read by their two-letter codes.
+ISO_639_1 = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv "
+    "ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my "
+    "nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty "
+    "ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
 _NAMES = {
-    "en": "en eng english", "de": "de deu ger german deutsch", "fr": "fr fra fre french francais français", "es": "es spa spanish espanol español",
-    "pt": "pt por portuguese portugues português", "it": "it ita italian italiano", "nl": "nl nld dut dutch nederlands", "ru": "ru rus russian русский",
+    "ar": "ara arabic", "cs": "ces cze czech", "da": "dan danish", "de": "deu ger german deutsch", "el": "ell gre greek", "en": "eng english", "es": "spa spanish espanol español",
+    "fi": "fin finnish", "fr": "fra fre french francais français", "hi": "hin hindi", "hu": "hun hungarian", "it": "ita italian italiano", "ja": "jpn japanese", "ko": "kor korean",
+    "nl": "nld dut dutch nederlands", "no": "nor norwegian", "pl": "pol polish", "pt": "por portuguese portugues português", "ro": "ron rum romanian",
+    "ru": "rus russian русский", "sv": "swe swedish", "tr": "tur turkish", "uk": "ukr ukrainian", "vi": "vie vietnamese", "zh": "zho chi chinese",
 }
-CODES = {name: code for code, names in _NAMES.items() for name in names.split()}
+CODES = {c: c for c in ISO_639_1} | {name: code for code, names in _NAMES.items() for name in names.split()}
 
 # Commands whose arguments are no prose, and environments that hold none.
 _SILENT = (
@@ -57,8 +66,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def language_code(label: Column) -> Column:
-    """ISO 639-1 code of a label (a code of any length, with or without a region, or an English name, in any
-    case); NULL for a missing one, a placeholder or anything else."""
+    """ISO 639-1 code of a label (a code of two letters, a longer one of _NAMES, with or without a region, or a name, in
+    any case); NULL for a missing one, a placeholder or anything else. Which languages the model knows is fitted from
+    these labels, not fixed here."""
     head = F.regexp_extract(F.lower(F.trim(label)), r"^([^\s_-]+)", 1)
     pairs = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
     return F.element_at(pairs, F.when(F.length(head) > 0, head))
@@ -108,13 +118,13 @@ class LanguageModel:
         """Score of a word no language has: the mean of its longest known n-grams."""
         if (v := self.unseen.get(word)) is not None:
             return v
-        padded, v = f"^{word[:40]}$", self.zero
+        padded, v = f"^{word}$", self.zero
         for n in range(min(LONGEST_GRAM, len(padded)), 0, -1):
             hits = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i:i + n])) is not None]
             if hits:
                 v = np.mean(hits, axis=0)
                 break
-        if len(self.unseen) < UNSEEN_KEPT:  # a cache, not a limit: others are scored again
+        if len(self.unseen) < UNSEEN_KEPT and len(word) <= 64:  # a cache, not a limit: others are scored again
             self.unseen[word] = v
         return v
 
@@ -148,15 +158,18 @@ def _counted(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
         for b in batches:
             for code, text in zip(b["code"], b["text"]):
                 seen: set = set()
-                for _, words in prose_blocks(text):
-                    c = code
-                    if model:
-                        if len(words) < 5:
-                            continue
-                        c = model.codes[model.judge(words)[0]]
+                blocks = [words for _, words in prose_blocks(text)]
+                read = [code] * len(blocks)
+                if model:
+                    read, weight = [model.judge(words)[0] for words in blocks], np.zeros(len(model.codes))
+                    for k, words in zip(read, blocks):
+                        weight[k] += len(words)
+                    # A few words alone tell little: they count under the document's main language.
+                    read = [model.codes[int(weight.argmax()) if len(words) < 5 else k] for k, words in zip(read, blocks)]
+                for c, words in zip(read, blocks):
                     seen.update((c, w) for w in words)
                 counts.update(seen)
-        yield pd.DataFrame([(c, w[:100], n) for (c, w), n in counts.items()], columns=["code", "word", "n"])
+        yield pd.DataFrame([(c, w, n) for (c, w), n in counts.items()], columns=["code", "word", "n"])
 
     return documents.mapInPandas(run, "code string, word string, n long").groupBy("code", "word").agg(F.sum("n").alias("n"))
 
@@ -173,7 +186,7 @@ def _model(counts: DataFrame) -> LanguageModel | None:
     for r in rows:
         k, word, n = at[r["code"]], r["word"], r["n"]
         words.setdefault(word, np.zeros(len(codes)))[k] += n
-        padded = f"^{word[:40]}$"
+        padded = f"^{word}$"
         for m in range(1, LONGEST_GRAM + 1):
             for i in range(len(padded) - m + 1):
                 grams.setdefault(padded[i:i + m], np.zeros(len(codes)))[k] += n
@@ -211,8 +224,9 @@ def fit_languages(documents: DataFrame, sample: int = SAMPLE, rounds: int = 2) -
     return model
 
 
-def label_languages(documents: DataFrame, model: LanguageModel | None = None, all_blocks: bool = False) -> DataFrame:
-    """LABELLED: per document one row with block_no -1, its main language (that of most prose words), the
+def label_languages(documents: DataFrame, model: LanguageModel | None = None, all_blocks: bool = False, said: Column | None = None) -> DataFrame:
+    """LABELLED and ``said``, the language code that a column expression over ``documents`` gives (by default
+    language_code() of ``lang``), so that labels can be compared without a join: per document one row with block_no -1, its main language (that of most prose words), the
     confidence, which is the share of its words in that language times their mean confidence, and its prose
     words; and one row per prose block in another language (``all_blocks``: per prose block).
 
@@ -223,30 +237,31 @@ def label_languages(documents: DataFrame, model: LanguageModel | None = None, al
     require_columns(documents, {"doc_id", "text", "lang"})
     model = model or fit_languages(documents)
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    said = language_code(F.col("lang")) if said is None else said
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, names = shared.value, ["doc_id", "block_no", "lang_code", "confidence", "words"]
+        m, names = shared.value, ["doc_id", "block_no", "lang_code", "confidence", "words", "said"]
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b["doc_id"], b["text"]):
+            for doc, text, tag in zip(b["doc_id"], b["text"], b["said"]):
                 blocks = prose_blocks(text)
                 if m is None:
-                    out.append((doc, -1, None, 0.0, sum(len(w) for _, w in blocks)))
+                    out.append((doc, -1, None, 0.0, sum(len(w) for _, w in blocks), tag))
                     continue
                 judged = [(no, len(w), *m.judge(w)) for no, w in blocks]
                 total = sum(n for _, n, _, _ in judged)
                 if not judged:
                     words = _WORD.findall(_ANY_COMMAND.sub(" ", text or "").lower())
                     k, p = m.judge(words) if words else (None, 0.0)
-                    out.append((doc, -1, None if k is None else m.codes[k], p, 0))
+                    out.append((doc, -1, None if k is None else m.codes[k], p, 0, tag))
                     continue
                 weight, sure = np.zeros(len(m.codes)), np.zeros(len(m.codes))
                 for _, n, k, p in judged:
                     weight[k] += n
                     sure[k] += n * p
                 main = int(weight.argmax())
-                out.append((doc, -1, m.codes[main], float(sure[main] / total), total))
-                out += [(doc, no, m.codes[k], p, n) for no, n, k, p in judged if all_blocks or k != main]
+                out.append((doc, -1, m.codes[main], float(sure[main] / total), total, tag))
+                out += [(doc, no, m.codes[k], p, n, tag) for no, n, k, p in judged if all_blocks or k != main]
             yield pd.DataFrame(out, columns=names)
 
-    return documents.select("doc_id", "text").mapInPandas(run, LABELLED)
+    return documents.select("doc_id", "text", said.alias("said")).mapInPandas(run, f"{LABELLED}, said string")

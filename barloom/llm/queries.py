@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.language import label_languages, language_code
+from barloom.llm.language import label_languages
 from barloom.llm.leaks import leaked_items
 from barloom.llm.nearest import nearest_join
 from barloom.llm.packing import pack_documents
@@ -77,17 +77,13 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_labels(spark: SparkSession, d: str) -> DataFrame:
     """Every document's main language and every block written in another, with a confidence."""
-    return label_languages(table(spark, d, "documents"))
+    return label_languages(table(spark, d, "documents")).drop("said")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    labels = label_languages(docs)
-    # The label travels with the row through the operator's doc_id; documents are not joined by text.
-    said = docs.select(F.col("doc_id").alias("said_id"), language_code(F.col("lang")).alias("said"))
-    j = labels.join(said, labels["doc_id"] == said["said_id"], "left")
+    labels = label_languages(table(spark, d, "documents"))
     wrong = (F.col("block_no") == -1) & (F.col("said").isNull() | (F.col("said") != F.col("lang_code")))
-    return j.where(F.col("lang_code").isNotNull() & (wrong | ((F.col("block_no") >= 0) & (F.col("words") >= 20)))).select(
+    return labels.where(F.col("lang_code").isNotNull() & (wrong | ((F.col("block_no") >= 0) & (F.col("words") >= 20)))).select(
         "doc_id", "block_no", "lang_code").distinct()
 
 

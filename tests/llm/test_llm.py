@@ -317,6 +317,17 @@ def test_the_sample_is_drawn_from_labelled_rows_of_all_files(spark, tmp_path, mo
     assert "ru" in fit_languages(docs, sample=60).codes and 30 < kept[1] < 100
 
 
+def test_the_languages_are_those_of_the_labels(spark, tmp_path):
+    texts = TEXTS | {"pl": "pole pozostaje blisko granicy a łańcuch nie jest daleko od średniej wartości dryfu w granicy małych kroków"}
+    rows = [(k, "\n\n".join([texts[c]] * 3 + ["x" * 5000]), {"pl": "Polish", "de": "ger"}.get(c, c)) for k in range(200) for c in [list(texts)[k % 5]]]
+    rows.append((900, texts["pl"], None))
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 80), "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/a b")
+    docs = spark.read.parquet(f"file://{tmp_path}/a b")
+    got = {r.doc_id: r for r in label_languages(docs).where("block_no = -1").collect()}
+    assert len(docs.inputFiles()) == 80 and len(got) == 201
+    assert all(got[k].lang_code == list(texts)[k % 5] == got[k].said for k in range(200)) and got[900].lang_code == "pl" and got[900].said is None
+
+
 def test_unseen_words_back_off():
     grams = {"^ch": np.array([0.0, -3.0]), "sch": np.array([-1.0, -9.0]), "e": np.array([-2.0, -2.5])}
     m = LanguageModel(["de", "fr"], {}, grams)
