@@ -1,39 +1,46 @@
 """Evaluation passages inside training documents.
 
 Both sides are reduced to words (runs of letters, lower case, joined by single spaces). A passage of
-``min_words`` consecutive item words, up to ``edits`` changed words, lies in a document only if document
-and item share a certain number of character q-grams on diagonals close to each other (q-gram lemma).
-So each document counts shared q-grams in overlapping bands of diagonals, keeps the bands that reach
-the bound, and verifies these by an alignment inside the band.
-
-The items are the bounded side: they are indexed in blocks of ``BLOCK_ITEMS``, and each block meets all
-documents in one pass without any shuffle. A document is judged on its own, so items or sources
-that hold a third of all matches cost no more than others.
+``min_words`` consecutive item words, up to ``edits`` of them changed, left out or with a word put before
+them, lies in a document only if document and item share a certain number of character q-grams on
+diagonals close to each other (q-gram lemma). Diagonals are counted in words, so a changed word moves none,
+however long it is, and one put in or left out moves what follows by one. Each document counts its shared
+q-grams in overlapping bands of diagonals, keeps the stretches that reach the item's bound, and verifies
+all stretches of many documents together by one banded alignment over words.
+
+The items are the bounded side: they are written in blocks of at most ``BLOCK_BYTES`` of text, which workers
+read where they need them, and each block meets all documents in one pass without any shuffle. A document is
+judged on its own, so items or sources that hold a third of all matches cost no more than others.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow.dataset as pads
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.plans.materialize import new_path
 from barloom.sources.tables import require_columns
 
 Q = 8
-BLOCK_ITEMS = 5_000
-BAND = 32
+#: Text of the items of one index, in bytes; its tables take about 16 times as much of a worker's memory.
+BLOCK_BYTES = 16_000_000
+#: Text of the documents that are verified together, and shared q-grams that are spread over their items at once.
+TOGETHER, SPREAD = 8_000_000, 4_000_000
+#: Words that q - 1 letters and spaces touch at most: what a q-gram hides at either side of a change.
+HIDDEN = (Q + 1) // 2 + 1
 _BITS = 24
 _COMMAND = re.compile(rb"\\[A-Za-z@]+\*?")
 _FOREIGN_MARKS = re.compile(r"[^\w\x00-\x7f]+|[^\W\D0-9]+")
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_CODES = np.full(256, 27, np.int64)
-_CODES[ord(" ")] = 0
-_CODES[ord("a"):ord("z") + 1] = np.arange(1, 27)
-FOUND = "item_id long, doc_id long, words long, doc_word long, item_word long"
+FOUND = "item_id long, doc_id long, words long, exact long, doc_word long, item_word long"
 
 
 def plain_words(text: str) -> bytes:
@@ -48,17 +55,27 @@ def plain_words(text: str) -> bytes:
 
 
 def _grams(plain: bytes) -> np.ndarray:
-    """Codes of all q-grams (q is 8): base 28, bytes outside a-z share one digit."""
-    a = _CODES[np.frombuffer(plain, np.uint8)]
+    """All q-grams (q is 8) as the numbers their bytes make, so that every alphabet tells them apart."""
+    a = np.frombuffer(plain, np.uint8).astype(np.uint64)
     if len(a) < Q:
         return a[:0]
-    two = a[:-1] * 28 + a[1:]
-    four = two[:-2] * 784 + two[2:]
-    return four[:-4] * 614_656 + four[4:]
+    two = a[:-1] | (a[1:] << np.uint64(8))
+    four = two[:-2] | (two[2:] << np.uint64(16))
+    return four[:-4] | (four[4:] << np.uint64(32))
+
+
+def _word_of(plain: bytes) -> np.ndarray:
+    """Number of the word each character belongs to; a space belongs to the word before it."""
+    space = np.frombuffer(plain, np.uint8) == 32
+    return np.cumsum(space) - space
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
-    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def _joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 class ItemIndex:
@@ -66,180 +83,218 @@ class ItemIndex:
 
     def __init__(self, ids: list[int], texts: list[str | None], min_words: int, edits: int):
         self.min_words, self.edits = min_words, edits
-        self.ids, self.words = [], []
-        codes, item, pos, bound, longest, starts, ends, base = [], [], [], [], [1], [], [], [0]
+        self.ids, self.vocabulary = [], {}
+        codes, item, word, bound, numbers = [], [], [], [], []
         for i, t in zip(ids, texts):
-            words = plain_words(t or "").split()
+            plain = plain_words(t or "")
+            words = plain.split()
             if len(words) < min_words:
                 continue
-            plain, n = b" ".join(words), np.array([len(w) for w in words])
-            # Shortest passage in characters, and what changed words can destroy of it.
-            run = np.convolve(n, np.ones(min_words, int), "valid").min() + min_words - 1
-            bound.append(max(1, int(run) - Q + 1 - edits * (int(n.max()) + Q)))
-            longest.append(int(n.max()))
+            # Q-grams of the shortest passage that its longest words, were they changed, leave over.
+            n = np.lib.stride_tricks.sliding_window_view(np.array([len(w) for w in words]), min_words)
+            lost = np.sort(n, axis=1)[:, min_words - edits:] + Q
+            bound.append(max(1, int((n.sum(axis=1) + min_words - Q - lost.sum(axis=1)).min())))
             g = _grams(plain)
             codes.append(g)
             item.append(np.full(len(g), len(self.ids), np.int32))
-            pos.append(np.arange(len(g), dtype=np.int32))
-            at = np.cumsum(np.append(0, n[:-1] + 1)) + base[-1]
-            starts.append(at)
-            ends.append(at + n)
-            base.append(base[-1] + len(plain) + 1)
+            word.append(_word_of(plain)[:len(g)].astype(np.int32))
+            numbers.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]))
             self.ids.append(i)
-            self.words.append(words)
-        joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.bound, self.base = np.array(bound, np.int64), np.array(base[:-1], np.int64)
-        self.starts, self.ends = joined(starts), joined(ends)
-        # A document word longer than all item words is a changed one whatever its end: it is cut to ``most`` letters,
-        # one more than any item word has, so that no word moves what follows it by more than ``most`` and a space.
-        most = max(longest) + 1
-        self.cut, self.kept = re.compile(rb"([^ ]{%d})[^ ]+" % most), rb"\1"
-        # Shared q-grams of one passage follow each other at most so far apart, on diagonals at most ``shift`` apart;
-        # its words without a shared q-gram lie at most ``reach`` outside.
-        self.reach, self.shift = edits * (most + Q), edits * (most + 1)
-        self.gap = self.reach if edits else 1
-        self.band = max(BAND, 2 * self.shift) if edits else 1
-        self.slack = edits * (max(longest) + Q)
-        c = joined(codes)
+        self.bound, self.size = np.array(bound, np.int64), np.array([len(x) for x in numbers], np.int64)
+        self.words, self.first_word = _joined(numbers), np.cumsum(self.size) - self.size
+        # Shared q-grams of one passage follow each other at most so many words apart; words of the passage that have
+        # none lie at most ``reach`` outside them.
+        self.gap, self.reach = max(1, HIDDEN * edits + 1), HIDDEN * edits
+        c = _joined(codes, np.uint64)
         order = np.argsort(c, kind="stable")
         c = c[order]
-        self.item, self.pos = joined(item)[order], joined(pos)[order]
+        self.item, self.word = _joined(item)[order], _joined(word)[order]
         self.code, self.first = np.unique(c, return_index=True)
         self.count = np.diff(np.append(self.first, len(c)))
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[_slot(self.code)] = True
 
-    def regions(self, grams: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item, lowest and highest diagonal, first and last document position) of the stretches of a
-        band whose shared q-grams reach the item's bound and span enough of its words."""
+    def regions(self, grams: np.ndarray, word_of: np.ndarray) -> np.ndarray:
+        """(item, lowest and highest diagonal, first and last document word) of the stretches of a band whose shared
+        q-grams reach the item's bound and span enough of its words; a diagonal is item word less document word."""
+        none = np.zeros((0, 5), np.int64)
         at = np.flatnonzero(self.seen[_slot(grams)])
-        if not len(at):
-            return []
+        if not len(at) or not self.ids:
+            return none
         k = np.searchsorted(self.code, grams[at])
         k[k == len(self.code)] = 0
         ok = self.code[k] == grams[at]
-        at, k = at[ok], k[ok]
+        at, k = word_of[at[ok]], k[ok]
         # A stretch too short for any item at all ends here, before it is spread over the items.
         cut = np.flatnonzero(np.diff(at) > self.gap) + 1
         size = np.diff(np.concatenate(([0], cut, [len(at)])))
         ok = np.repeat(size >= self.bound.min(), size)
         at, k = at[ok], k[ok]
         if not len(at):
-            return []
+            return none
+        # Stretches stand on their own: so many go together as fit in memory.
         n = self.count[k]
-        p = np.repeat(at, n)
+        ends = np.append(np.flatnonzero(np.diff(at) > self.gap) + 1, len(at))
+        spread, parts, a = np.cumsum(n), [], 0
+        while a < len(at):
+            z = ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(spread[ends - 1], (spread[a - 1] if a else 0) + SPREAD, "right") - 1)]
+            parts.append(self._stretches(at[a:z], k[a:z], n[a:z]))
+            a = z
+        return np.concatenate(parts)
+
+    def _stretches(self, at: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        word = np.repeat(at, n)
         o = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, pos = self.item[o].astype(np.int64), self.pos[o].astype(np.int64)
-        diagonal, out = p - pos, []
-        for shift in (0, self.band // 2) if self.edits else (0,):
-            # Without edits a passage keeps to one diagonal, and so does its band.
-            band = (diagonal + shift + (1 << 30)) // self.band
-            key = (item << 40) + band
-            order = np.lexsort((p, key))
-            kk, pp, ii, dd = key[order], p[order], pos[order], diagonal[order]
-            first = np.concatenate(([0], np.flatnonzero((np.diff(kk) != 0) | (np.diff(pp) > self.gap)) + 1))
-            count, it = np.diff(np.append(first, len(kk))), kk[first] >> 40
-            lo = np.minimum.reduceat(ii, first) + self.base[it] - self.slack
-            hi = np.maximum.reduceat(ii, first) + self.base[it] + Q + self.slack
-            inside = np.searchsorted(self.ends, hi, "right") - np.searchsorted(self.starts, lo, "left")
-            good = np.flatnonzero((count >= self.bound[it]) & (inside >= self.min_words - self.edits))
-            if len(good):
-                d0, d1 = np.minimum.reduceat(dd, first), np.maximum.reduceat(dd, first)
-                last = np.append(first[1:], len(kk)) - 1
-                out += [(int(it[g]), int(d0[g]), int(d1[g]), int(pp[first[g]]), int(pp[last[g]])) for g in good]
-        return out
-
-    def verify(self, words: list[bytes], starts: np.ndarray, region: tuple) -> tuple[int, int, int]:
-        """Best alignment of document and item words inside the region's band: (item words matched with
-        at most ``edits`` changed words between them, word of the document and of the item where it ends).
-        Nothing matched if no passage of ``min_words`` item words, changed ones included, lies there."""
-        best = self._align(words, starts, region, 0)
-        if best[0] >= self.min_words:
-            return best
-        # With a changed word in the passage fewer match; then the item's words count, matched or not.
-        whole = self.edits and best[0] >= self.min_words - self.edits and self._align(words, starts, region, 1)[0] >= self.min_words
-        return best if whole else (0, -1, -1)
-
-    def _align(self, words: list[bytes], starts: np.ndarray, region: tuple, changed: int) -> tuple[int, int, int]:
-        """Longest alignment, and the document and item word where it ends; an item word that the document changed
-        or left out counts as ``changed``, at the ends of a passage too, an inserted document word as nothing."""
-        it, d0, d1, p0, p1 = region
-        iw = self.words[it]
-        i_start = np.cumsum([0] + [len(w) + 1 for w in iw[:-1]])
-        lo = max(0, int(np.searchsorted(starts, p0 - self.reach, "right")) - 2)
-        hi = min(len(words), int(np.searchsorted(starts, p1 + Q + self.reach, "right")) + 1)
-        slack = max(self.shift, self.edits * 2 * (max(map(len, iw)) + 1))
-        best, none = (0, -1, -1), [0] * (self.edits + 1)
-        before: dict[int, list[int]] = {}
-        for a in range(lo, hi):
-            x, row = int(starts[a]), {}
-            j0 = max(0, int(np.searchsorted(i_start, x - d1 - slack)))
-            j1 = min(len(iw), int(np.searchsorted(i_start, x - d0 + slack, "right")))
-            for j in range(j0, j1):
-                diag = before.get(j - 1, none)
-                if changed:
-                    # A passage may begin with item words that the document left out.
-                    diag = [max(v, min(e, j)) for e, v in enumerate(diag)]
-                if words[a] == iw[j]:
-                    m = [v + 1 for v in diag]
-                else:
-                    up, left = before.get(j, none), row.get(j - 1, none)
-                    m = [0] + [max(diag[e] + changed, up[e], left[e] + changed) for e in range(self.edits)]
-                row[j] = m
-                if m[-1] > best[0]:
-                    best = (m[-1], a, j)
-            before = row
-        return best
+        item, diagonal = self.item[o].astype(np.int64), self.word[o] - word
+        out = []
+        # Bands are 2 x edits wide and lie half over each other, so that one holds any edits + 1 diagonals in a row.
+        # Without edits a passage keeps to one diagonal, and so does its band.
+        width = max(1, 2 * self.edits)
+        for shift in (0, self.edits) if self.edits else (0,):
+            key = (item << 40) + (diagonal + shift + (1 << 38)) // width
+            order = np.lexsort((word, key))
+            kk, ww, dd = key[order], word[order], diagonal[order]
+            first = np.concatenate(([0], np.flatnonzero((np.diff(kk) != 0) | (np.diff(ww) > self.gap)) + 1))
+            shared = np.diff(np.append(first, len(kk)))
+            good = shared >= self.bound[kk[first] >> 40]
+            if not good.any():
+                continue
+            dd, first, last = dd[np.repeat(good, shared)], first[good], (first + shared - 1)[good]
+            it = kk[first] >> 40
+            edge = np.cumsum(last - first + 1) - (last - first + 1)
+            d0, d1 = np.minimum.reduceat(dd, edge), np.maximum.reduceat(dd, edge)
+            lo = np.maximum(0, ww[first] + d0 - self.reach)
+            hi = np.minimum(self.size[it], ww[last] + d1 + HIDDEN + self.reach + 1)
+            enough = hi - lo >= self.min_words - self.edits
+            out.append(np.stack([it, d0, d1, ww[first], ww[last]], axis=1)[enough])
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 5), np.int64)
+
+    def verify(self, words: np.ndarray, ends: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Banded alignment of every region: (passage found, item words matched with at most ``edits`` changes between
+        them, longest run of equal words, document word and item word where the alignment ends).
+
+        ``words`` are the numbers of the documents' words, those of a region's document ending at ``ends``; first and
+        last document word and diagonals of ``regions`` count from the head of ``words``. An item word that the
+        document changed or left out belongs to the passage, at its ends too; a word put in does not.
+        """
+        e, n = self.edits, len(regions)
+        it, d0, d1 = regions[:, 0], regions[:, 1] - self.edits, regions[:, 2] + self.edits
+        head = regions[:, 5]
+        lo = np.maximum(head, regions[:, 3] - self.reach - 1)
+        hi = np.minimum(ends, regions[:, 4] + self.reach + HIDDEN + 1)
+        order = np.argsort(lo - hi, kind="stable")
+        it, d0, d1, lo, hi = it[order], d0[order], d1[order], lo[order], hi[order]
+        width = int((d1 - d0).max()) + 1
+        size, base = self.size[it], self.first_word[it]
+        cols = np.arange(width)
+        known = cols[None, :] <= (d1 - d0)[:, None]
+        # matched[k], whole[k]: best so far with at most k changes, by diagonal; whole counts changed item words too.
+        matched, whole = np.zeros((e + 1, n, width), np.int64), np.zeros((e + 1, n, width), np.int64)
+        best, exact, most = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        best_a, best_j = np.full(n, -1), np.full(n, -1)
+        for step in range(int((hi - lo).max())):
+            m = int(np.searchsorted(lo - hi, -step, "left"))
+            a = lo[:m] + step
+            j = a[:, None] + d0[:m, None] + cols
+            ok = known[:m] & (j >= 0) & (j < size[:m, None])
+            same = ok & (self.words[base[:m, None] + np.where(ok, j, 0)] == words[a][:, None])
+            for state, counts in ((matched, 0), (whole, 1)):
+                before = state[:, :m].copy()
+                if counts:
+                    for k in range(1, e + 1):
+                        before[k] = np.maximum(before[k], np.clip(j, 0, k))
+                now = np.where(same, before + 1, 0)
+                for k in range(1, e + 1):
+                    other = before[k - 1] + counts
+                    other[:, :-1] = np.maximum(other[:, :-1], before[k - 1][:, 1:])
+                    other[:, 1:] = np.maximum(other[:, 1:], now[k - 1][:, :-1] + counts)
+                    now[k] = np.where(same, now[k], np.where(ok, other, 0))
+                state[:, :m] = now
+            top = matched[e, :m].max(axis=1)
+            up = np.flatnonzero(top > best[:m])
+            best[up], best_a[up] = top[up], a[up]
+            best_j[up] = j[up, matched[e, up].argmax(axis=1)]
+            exact[:m] = np.maximum(exact[:m], matched[0, :m].max(axis=1))
+            most[:m] = np.maximum(most[:m], whole[e, :m].max(axis=1))
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        # A stretch of words that only changes make long enough must still match in all but ``edits`` of them.
+        found = (best >= self.min_words) | ((best >= self.min_words - e) & (most >= self.min_words))
+        return found[back], best[back], exact[back], best_a[back], best_j[back]
+
+    def search_all(self, texts: list[str | None]) -> pd.DataFrame:
+        """Passages in many texts: text (its number), item (its number), words, exact, doc_word, item_word; one row per
+        text and item, the one whose alignment is longest and, of equally long ones, ends last."""
+        regions, numbers, base, get = [], [], 0, self.vocabulary.get
+        for i, text in enumerate(texts):
+            plain = plain_words(text) if text else b""
+            if len(plain) < Q:
+                continue
+            r = self.regions(_grams(plain), _word_of(plain))
+            if len(r):
+                w = np.array([get(x, -1) for x in plain.split(b" ")])
+                numbers.append(w)
+                # Counted from the head of all words: document words move up, diagonals down.
+                more = np.broadcast_to(np.array([base, base + len(w), i]), (len(r), 3))
+                regions.append(np.concatenate([r + np.array([0, -base, -base, base, base]), more], axis=1))
+                base += len(w)
+        names = ["text", "item", "words", "exact", "doc_word", "item_word"]
+        if not regions:
+            return pd.DataFrame({x: np.zeros(0, np.int64) for x in names})
+        r = np.concatenate(regions)
+        found, words, exact, a, j = self.verify(np.concatenate(numbers), r[:, 6], r)
+        f = pd.DataFrame({"text": r[:, 7], "item": r[:, 0], "words": words, "exact": exact, "doc_word": a - r[:, 5], "item_word": j})[found]
+        f["exact"] = f.groupby(["text", "item"])["exact"].transform("max")
+        return f.sort_values(names[:3] + names[4:]).drop_duplicates(["text", "item"], keep="last")
 
     def search(self, text: str | None) -> dict[int, tuple[int, int, int]]:
-        """Items (by number) of which the text holds a passage, with its best alignment."""
-        found: dict[int, tuple[int, int, int]] = {}
-        if not text or not self.ids:
-            return found
-        plain = plain_words(text)
-        if self.edits:
-            plain = self.cut.sub(self.kept, plain)
-        regions = self.regions(_grams(plain))
-        if regions:
-            words = plain.split(b" ")
-            starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-            for r in regions:
-                best = self.verify(words, starts, r)
-                if best[0] and best > found.get(r[0], (0, -1, -1)):
-                    found[r[0]] = best
-        return found
+        """Items (by number) of which one text holds a passage: words, document word and item word of its end."""
+        return {i: (w, a, j) for _, i, w, _, a, j in self.search_all([text]).itertuples(index=False)}
+
+
+def _read_items(path: str, block: int) -> tuple[list[int], list[str]]:
+    at = urlparse(path)
+    fs, root = (pyarrow.fs.LocalFileSystem(), at.path) if at.scheme in ("", "file") else pyarrow.fs.FileSystem.from_uri(path)
+    t = pads.dataset(f"{root}/block={block}", filesystem=fs, format="parquet").to_table(columns=["item_id", "text"]).sort_by("item_id")
+    return t["item_id"].to_pylist(), t["text"].to_pylist()
 
 
 def leaked_items(
-    documents: DataFrame, items: DataFrame, min_words: int = 12, edits: int = 0, block_items: int = BLOCK_ITEMS,
+    documents: DataFrame, items: DataFrame, min_words: int = 12, edits: int = 1, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document and leaked item (FOUND): words matched, and where in document and item the
-    passage ends, counted in words from 0. With ``edits`` a passage has ``min_words`` consecutive item words of which
-    so many may be changed, left out or have a word put before them, so fewer than ``min_words`` may match.
+    """One row per document and leaked item (FOUND): item words matched, the longest run of equal words (exact), and
+    where in document and item the passage ends, counted in words from 0. A passage has ``min_words`` consecutive item
+    words of which ``edits`` may be changed, left out or have a word put before them, so fewer than ``min_words`` may
+    match; ``exact`` tells passages without any change.
 
     Null and empty texts, and items shorter than ``min_words`` words, leak nothing. Repeated documents
     give repeated rows; an empty table on either side gives no rows; other columns are ignored. Whole
-    texts are searched, whatever their length.
+    texts are searched, whatever their length, in any alphabet.
     """
     require_columns(documents, {"doc_id", "text"})
     require_columns(items, {"item_id", "text"})
+    if not 0 <= edits < min_words:
+        raise ValueError("fewer edits than words")
     spark = documents.sparkSession
-    items = items.select("item_id", "text").where(F.col("item_id").isNotNull()).distinct()
-    blocks = max(1, -(-items.count() // block_items))
-    passes = []
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        rows = part.orderBy("item_id").collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(*shared.value, min_words, edits)
+    items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    path = new_path(spark, "items")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))).write.partitionBy("block").parquet(path)
+    out = spark.createDataFrame([], FOUND)
+    passes = [r["block"] for r in spark.read.parquet(path).select("block").distinct().collect()] if total else []
+    for b in passes:
+        def run(batches: Iterator[pd.DataFrame], b=b) -> Iterator[pd.DataFrame]:
+            index = None
             for batch in batches:
-                out = [(index.ids[i], doc, *m) for doc, text in zip(batch["doc_id"], batch["text"]) for i, m in index.search(text).items()]
-                yield pd.DataFrame(out, columns=["item_id", "doc_id", "words", "doc_word", "item_word"])
+                index = index or ItemIndex(*_read_items(path, b), min_words, edits)
+                together = np.cumsum(batch["text"].str.len().fillna(0).to_numpy()) // TOGETHER
+                for _, part in batch.groupby(together):
+                    f = index.search_all(part["text"].tolist())
+                    f["item_id"] = np.array(index.ids, np.int64)[f["item"].to_numpy()] if len(f) else np.zeros(0, np.int64)
+                    f["doc_id"] = part["doc_id"].to_numpy()[f["text"].to_numpy()]
+                    yield f[[x.split()[0] for x in FOUND.split(", ")]]
 
-        passes.append(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, FOUND))
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
+        p = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, FOUND)
+        out = p if b == passes[0] else out.unionByName(p)
     return out

@@ -65,14 +65,18 @@ def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    hits = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return hits.select("item_id", "doc_id").distinct()
+    """Of the passages found within the edit budget those that hold twelve equal words in a row."""
+    return _leaks(spark, d).where(F.col("exact") >= 12).select("item_id", "doc_id").distinct()
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     """Passages of twelve words of which up to one was changed, with where they end."""
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=1)
+    return _leaks(spark, d)
 
 
 def p10_labels(spark: SparkSession, d: str) -> DataFrame:

@@ -182,9 +182,11 @@ def test_leaks_against_brute_force(spark):
     extra = [(900, None, "x"), (901, "", "x"), (902, items[0][1] * 400, "x")]
     df = spark.createDataFrame([(*d, "x") for d in docs] + extra, "doc_id long, text string, item_id string")
     it = spark.createDataFrame([(*i, "x") for i in items] + [(50, None, "x"), (51, "too short", "x"), (None, "q", "x")], "item_id long, text string, words string")
-    for block in (5000, 7):
-        got = {(r.item_id, r.doc_id) for r in leaked_items(df, it, block_items=block).collect()}
-        assert got == want | {(0, 902)} | leaks_brute([(902, items[0][1] * 400)], items)
+    for block in (1_000_000, 2_000):
+        found = leaked_items(df, it, block_bytes=block).collect()
+        assert {(r.item_id, r.doc_id) for r in found if r.exact >= 12} == want | {(0, 902)} | leaks_brute([(902, items[0][1] * 400)], items)
+        assert len(found) == len({(r.item_id, r.doc_id) for r in found})
+    assert {(r.item_id, r.doc_id) for r in leaked_items(df, it, edits=0).collect()} == want | {(0, 902)} | leaks_brute([(902, items[0][1] * 400)], items)
     assert leaked_items(df.where("false"), it).count() == 0 and leaked_items(df, it.where("false")).count() == 0
 
 
@@ -252,6 +254,27 @@ def test_long_words_changed_or_put_in_against_brute_force():
                         assert (0 in ix.search(doc)) == near_brute(doc, item), (long, n, size, at, put_in)
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_recall_is_whole_for_changes_of_any_length(edits):
+    rng, cases, hits = random.Random(edits), 0, 0
+    alphabet = "abcdefgheijlmnoprstuvä" if edits < 2 else "абвгдеклмнопрст"
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    for _ in range(25):
+        words = [word(rng.choice([1, 2, 3, 5, 8, 13])) for _ in range(24)]
+        ix = ItemIndex([1], [" ".join(words)], 12, edits)
+        for _ in range(12):
+            at, n = rng.randrange(11), rng.choice([11, 12, 13])
+            w = words[at:at + n]
+            for _ in range(rng.randrange(edits + 2)):
+                k, new = rng.randrange(len(w)), word(rng.randint(1, 40))
+                w[k:k + rng.choice([0, 1])] = rng.choice([[new], []])
+            doc = " ".join([word(4), word(9), *w, word(7), word(2)])
+            want = near_brute(doc, " ".join(words), 12, edits)
+            cases, hits = cases + want, hits + (want and 0 in ix.search(doc))
+            assert (0 in ix.search(doc)) == want, (doc, words)
+    assert cases > 50 and hits == cases
+
+
 def test_short_words_before_a_changed_one():
     item = "a b cellar d e f g h i j k l m n o p q r s t"
     ix = ItemIndex([1], [item], 12, 1)
