@@ -2,10 +2,10 @@
 
 The join keeps state as a stream join does: both sides are buffered per entity; a left row is emitted
 once the watermark has passed its tolerance horizon, when no nearer right row can still come; right rows
-that no waiting or future left row can reach are evicted. The same machine (NearestBuffer) runs over a
-live stream (nearest_stream) and over bounded tables (nearest_join). A bounded table is replayed in
-event-time order, so its watermark is the time of the replay itself and rows that were delivered late
-or backfilled are not late any more; none is dropped.
+that no waiting or future left row can reach are evicted. nearest_stream runs this over live streams.
+nearest_replay runs the same stateful query over bounded tables, which it feeds to the stream slice by slice in
+the order of event time, so that rows that were delivered late or backfilled are not late any more and the
+watermark drops none. nearest_join replays the same buffer in one batch job, without a state store.
 """
 
 from __future__ import annotations
@@ -17,8 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.plans.materialize import new_path, written
 from barloom.sources.tables import require_columns
 
+#: Rows that one slice of a replay holds, which is what its state may grow to, and slices it has at least.
+SLICE_ROWS, LEAST_SLICES = 50_000_000, 2
+#: Rows of one entity that one state holds, about; entities with more are cut into spans of time.
+GROUP_ROWS = 250_000
 #: Microseconds of event time that one task replays of one entity; a hot entity is split over many.
 SPAN_US = 6 * 3_600_000_000
 NONE = np.zeros(0, np.int64)
@@ -164,14 +169,22 @@ def nearest_stream(
     behind the watermark has missed its partners and is dropped, which is the price of bounded state;
     what still waits when a query is stopped is emitted after it goes on. Output as nearest_join, unmatched
     left rows included (append mode)."""
+    lf, rf = _sides(left, right, entity, left_id, left_time, right_id, right_time, value)
+    return _stateful(lf.unionByName(rf), entity, entity, tolerance_us, delay)
+
+
+def _output(both: DataFrame, entity: Sequence[str]) -> str:
+    kinds = dict(both.dtypes)
+    return ", ".join([*(f"`{e}` {kinds[e]}" for e in entity), "left_id long, left_us long, right_id long, right_us long, value double"])
+
+
+def _stateful(both: DataFrame, keys: Sequence[str], entity: Sequence[str], tolerance_us: int, delay: str) -> DataFrame:
+    """The stateful query over a stream of both sides; ``keys`` begin with ``entity``."""
     import pickle
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    lf, rf = _sides(left, right, entity, left_id, left_time, right_id, right_time, value)
-    both = lf.unionByName(rf).withColumn("at", F.timestamp_micros("t")).withWatermark("at", delay)
-    kinds = dict(lf.dtypes)
-    schema = ", ".join([*(f"`{e}` {kinds[e]}" for e in entity), "left_id long, left_us long, right_id long, right_us long, value double"])
+    both = both.withColumn("at", F.timestamp_micros("t")).withWatermark("at", delay)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         buffer = pickle.loads(state.get[0]) if state.exists else NearestBuffer(tolerance_us)
@@ -182,7 +195,10 @@ def nearest_stream(
             buffer.add_right(t[~is_left], ids[~is_left], v[~is_left])
         mark = state.getCurrentWatermarkMs() * 1000
         order = np.lexsort((buffer.left_id, buffer.left_t))
-        buffer.left_t, buffer.left_id = buffer.left_t[order], buffer.left_id[order]
+        t, ids = buffer.left_t[order], buffer.left_id[order]
+        # Repeats of a left row that wait together are one.
+        new = np.append(True, (t[1:] != t[:-1]) | (ids[1:] != ids[:-1]))[:len(t)]
+        buffer.left_t, buffer.left_id = t[new], ids[new]
         ids, lt, rid, rt, val = buffer.advance(mark)
         if len(buffer.left_t):
             state.update((pickle.dumps(buffer),))
@@ -193,6 +209,8 @@ def nearest_stream(
             state.setTimeoutTimestamp(max(int(buffer.right_t.max() + 2 * tolerance_us) // 1000 + 1, mark // 1000 + 1))
         elif state.exists:
             state.remove()
+        if not len(ids):
+            return
         ok = rid >= 0
         f = pd.DataFrame({e: pd.Series([k] * len(ids), dtype=object) for e, k in zip(entity, key)})
         f["left_id"], f["left_us"] = ids, lt
@@ -200,4 +218,53 @@ def nearest_stream(
         f["value"] = val
         yield f
 
-    return both.groupBy(*entity).applyInPandasWithState(run, schema, "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return both.groupBy(*keys).applyInPandasWithState(run, _output(both, entity), "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _span_us(both: DataFrame, entity: Sequence[str], tolerance_us: int, rows: int) -> int:
+    """Longest span of time of which no entity has more than ``rows`` rows, never shorter than eight tolerances."""
+    hours = written(both.groupBy(*entity, F.floor(F.col("t") / F.lit(3_600_000_000)).alias("hour_")).agg(F.count("*").alias("n_")), "density")
+    for span in (720, 168, 24, 6):
+        n = hours.groupBy(*entity, F.floor(F.col("hour_") / F.lit(span))).agg(F.sum("n_").alias("n")).agg(F.max("n")).first()[0]
+        if n <= rows:
+            break
+    return max(span * 3_600_000_000 // (1 if n <= rows else -(-n // rows)), 8 * tolerance_us)
+
+
+def nearest_replay(
+    left: DataFrame, right: DataFrame, entity: Sequence[str], left_id: str, left_time: str, right_id: str, right_time: str, value: str, tolerance_us: int,
+    keep_unmatched: bool = False, slice_rows: int = SLICE_ROWS, group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """The result of nearest_join, ties, nulls, repeats and empty tables included, by the streaming join.
+
+    Both tables are written once in order of time and appended to the stream's folder in slices of about ``slice_rows``
+    rows; after each the stream runs until it has nothing left to do, its state and watermark kept in its checkpoint.
+    A last slice far ahead moves the watermark past everything, so that all that waits is emitted. State is held per
+    entity and span of time, so neither an entity with a third of all rows nor a long history is one state's work;
+    right rows within the tolerance of a border are in both spans.
+    """
+    spark = left.sparkSession
+    lf, rf = _sides(left, right, entity, left_id, left_time, right_id, right_time, value)
+    both = written(lf.unionByName(rf).repartitionByRange("t").sortWithinPartitions("t"), "replay")
+    out = _output(both, entity)
+    n, last = both.agg(F.count("*"), F.max("t")).first()
+    if not n:
+        return spark.createDataFrame([], out)
+    span_us = _span_us(both, entity, tolerance_us, group_rows)
+    span = lambda t: F.floor(t / F.lit(span_us)).cast("long")
+    t = F.col("t")
+    both = both.withColumn("span", F.explode(F.when(F.col("side") == 0, F.array(span(t))).otherwise(F.sequence(span(t - tolerance_us), span(t + tolerance_us)))))
+    slices = max(LEAST_SLICES, -(-n // slice_rows))
+    edges = sorted({int(e) for e in both.approxQuantile("t", [k / slices for k in range(1, slices)], 0.02 / slices)})
+    folder, found, state = new_path(spark, "slices"), new_path(spark, "pairs"), new_path(spark, "state")
+    end = both.limit(1).withColumn("t", F.lit(last + 2 * tolerance_us + 3_600_000_000)).withColumn("side", F.lit(1).cast("byte")).withColumn(
+        "v", F.lit(0.0)).withColumn("span", F.lit(-1).cast("long"))
+    parts = [both.where((t >= a if a is not None else F.lit(True)) & (t < z if z is not None else F.lit(True))) for a, z in zip([None, *edges], [*edges, None])]
+    for part in [*parts, end]:
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(both.schema).parquet(folder)
+        pairs = _stateful(stream, [*entity, "span"], entity, tolerance_us, "1 second")
+        q = pairs.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(found)
+        q.awaitTermination()
+    pairs = spark.read.schema(out).parquet(found)
+    return pairs if keep_unmatched else pairs.where(F.col("right_id").isNotNull())

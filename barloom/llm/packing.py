@@ -92,12 +92,23 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     sizes = np.asarray(sizes, np.int64)
     if not len(sizes):
         return []
-    k = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
+    low, step, found = max(1, -(-int(sizes.sum()) // capacity)), 1, None
+    high = low
+    while found is None:
+        groups = differencing(sizes, high)
+        if exchange(sizes, groups, capacity):
+            found = groups
+        else:
+            low, high, step = high + 1, high + step, step * 2
+    while low < high:
+        # Between a number that failed and one that did not, whichever fits and is less.
+        k = (low + high) // 2
         groups = differencing(sizes, k)
         if exchange(sizes, groups, capacity):
-            return [g for g in groups if g]
-        k += max(1, k // 200)
+            high, found = k, groups
+        else:
+            low = k + 1
+    return [g for g in found if g]
 
 
 def pack_documents(
@@ -109,12 +120,14 @@ def pack_documents(
     rows are packed as often as they occur; an empty table gives no rows; other columns are ignored.
 
     Texts are tokenized where they are read and never shuffled: only (doc_id, tokens) travels. Packing
-    groups are drawn by hash, so they stay near ``group`` documents whatever a source's share.
+    groups are drawn by hash of the row, so they stay near ``group`` documents whatever a source's share and however
+    often one id is repeated.
     """
     require_columns(documents, {"doc_id", "text"})
-    sized = written(documents.select("doc_id", count_tokens(F.col("text"), tokenizer, folder).alias("tokens")), "tokens")
+    counted = documents.select("doc_id", count_tokens(F.col("text"), tokenizer, folder).alias("tokens"))
+    sized = written(counted.withColumn("row_", F.monotonically_increasing_id()), "tokens")
     groups = max(1, round(sized.count() / group))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups))
+    at = F.pmod(F.xxhash64("doc_id", "row_", F.lit(7)), F.lit(groups))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
@@ -136,6 +149,6 @@ def pack_documents(
         return pd.concat(out)
 
     # A number of partitions of our own: by their few bytes adaptive execution would join all groups into one task.
-    out = sized.withColumn("packing_group", at).repartition(min(groups, 20_000), "packing_group")
+    out = sized.withColumn("packing_group", at).drop("row_").repartition(min(groups, 20_000), "packing_group")
     out = out.groupBy("packing_group").applyInPandas(run, PACKED)
     return out.withColumn("tokenizer", F.lit(tokenizer))

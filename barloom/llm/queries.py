@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from barloom.llm.language import label_languages
 from barloom.llm.leaks import leaked_items
-from barloom.llm.nearest import nearest_join
+from barloom.llm.nearest import nearest_join, nearest_replay
 from barloom.llm.packing import pack_documents
-from barloom.llm.topn import top_n
+from barloom.llm.topn import planned, top_n
 from barloom.sources.tables import table
 
 GROUP = ("campaign_id", "market", "universe_month")
@@ -29,6 +29,14 @@ def _last_volumes(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy(*GROUP, "symbol").agg(F.max_by("prior_month_quote_volume", "recorded_at").alias("prior_month_quote_volume"))
 
 
+def p3_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Row groups of the clustered candidates, and those that the statistics alone tell not to open."""
+    v = _last_volumes(spark, d).where(F.col("prior_month_quote_volume") >= 0)
+    skipped = F.col("top") < F.col("floor")
+    return planned(v, GROUP, "prior_month_quote_volume", "symbol", 10).agg(
+        F.count("*").alias("row_groups"), F.count_if(skipped).alias("skipped"), F.sum("rows").alias("rows"), F.sum(F.when(skipped, F.col("rows")).otherwise(0)).alias("rows_skipped"))
+
+
 def _top_ten(spark: SparkSession, d: str) -> DataFrame:
     v = _last_volumes(spark, d).where(F.col("prior_month_quote_volume") >= 0)
     return top_n(v, GROUP, "prior_month_quote_volume", "symbol", 10)
@@ -44,19 +52,20 @@ def p3_cohorts(spark: SparkSession, d: str) -> DataFrame:
     return _top_ten(spark, d).join(counts.select(*GROUP, "candidate_count", "eligible_count"), list(GROUP), "left")
 
 
-def _panel_pairs(spark: SparkSession, d: str, unmatched: bool) -> DataFrame:
-    return nearest_join(
+def _panel_pairs(spark: SparkSession, d: str, join, **kw) -> DataFrame:
+    return join(
         table(spark, d, "panel"), table(spark, d, "funding_events"), ("market", "symbol"), "panel_id", "btc_source_timestamp",
-        "funding_id", "timestamp", "funding_rate", FIVE_MINUTES, unmatched)
+        "funding_id", "timestamp", "funding_rate", FIVE_MINUTES, **kw)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _panel_pairs(spark, d, False).select(F.col("left_id").alias("panel_id"), F.col("right_id").alias("funding_id"))
+    """By the streaming join, to which both tables are replayed in the order of event time."""
+    return _panel_pairs(spark, d, nearest_replay).select(F.col("left_id").alias("panel_id"), F.col("right_id").alias("funding_id"))
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Every panel row that has a source time, with the funding rate nearest to it or none."""
-    return _panel_pairs(spark, d, True).select(
+    """Every panel row that has a source time, with the funding rate nearest to it or none, in one batch job."""
+    return _panel_pairs(spark, d, nearest_join, keep_unmatched=True).select(
         "market", "symbol", F.col("left_id").alias("panel_id"), F.col("right_id").alias("funding_id"), F.col("value").alias("funding_rate"))
 
 
@@ -92,7 +101,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p3_found, p3_cohorts, p5_found, p5_rates, p8_windows, p9_found, p9_passages, p10_found, p10_labels)}
+    p3_found, p3_cohorts, p3_reads, p5_found, p5_rates, p8_windows, p9_found, p9_passages, p10_found, p10_labels)}
 
 _RANKED = """
 WITH months AS (SELECT *, CASE WHEN regexp_full_match(universe_month, '[0-9]{4}-[0-9]{2}(-[0-9]{2})?') THEN substr(universe_month, 1, 7) END AS m FROM monthly_volume),

@@ -1,38 +1,43 @@
 """The N highest-scoring items of every group.
 
 The candidates are written once, clustered by group and, within a group, by falling score. Parquet keeps
-the range of groups and the highest score of every row group. A reader then takes row groups in the order
-of their highest score and skips those that lie strictly below the current N-th score of every group they
-hold; of a group with millions of items only the first row groups are decoded. Every reader keeps N items
-a group, and a last ranking merges what the readers of one group kept.
+the range of groups, the range of scores and the number of rows of every row group. From these statistics
+alone follows a floor for each group that has row groups of its own: its N-th score is at least the lowest
+score of the best row groups that together hold N rows. Row groups whose highest score lies strictly below
+the floors of all groups they hold are never opened, in whichever file they are. The others are read in
+descending order of their highest score, and one that has meanwhile fallen strictly below the N-th score of
+its groups is skipped as well. A last ranking merges what the readers of one group kept.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
+import numpy as np
 import pandas as pd
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.plans.materialize import new_path
+from barloom.plans.materialize import new_path, written
 from barloom.sources.tables import require_columns
 
-#: Rows of one row group of the clustered layout, the unit that is read or skipped.
-ROW_GROUP_BYTES = 256 * 1024
-READ = "row_groups long, skipped long"
+#: Bytes of one row group of the clustered layout, the unit that is read or skipped: a share of the table's size,
+#: so that there are at most some thousands a terabyte, but within these bounds.
+LEAST_BYTES, MOST_BYTES, SHARE = 32 * 1024, 4 * 1024 * 1024, 4096
+ROW_GROUPS = "path string, row_group int, low string, high string, bottom double, top double, rows long"
 
 
-def clustered(items: DataFrame, group: Sequence[str], score: str, item: str, row_group_bytes: int = ROW_GROUP_BYTES) -> str:
+def clustered(items: DataFrame, group: Sequence[str], score: str, item: str, row_group_bytes: int) -> str:
     """Writes the candidates in order of group, falling score and item, in small row groups, and returns the
     path. Ranges are cut by group, score and item, so a group of any size spreads over many files."""
     path = new_path(items.sparkSession, "clustered")
     order = [*group, F.col(score).desc(), F.col(item)]
-    (items.select(F.concat_ws("\x1f", *group).alias("group_key"), *group, score, item)
+    # Lengths keep apart groups whose columns only together read the same.
+    key = F.concat_ws("\x1f", *[F.concat(F.length(F.col(g).cast("string")), F.lit(":"), F.col(g).cast("string")) for g in group])
+    (items.select(key.alias("group_key"), *group, score, item)
      .repartitionByRange(*order).sortWithinPartitions("group_key", F.col(score).desc(), item)
      .write.option("parquet.block.size", str(row_group_bytes)).option("compression", "zstd").parquet(path))
     return path
@@ -46,71 +51,87 @@ def _open(path: str) -> pq.ParquetFile:
     return pq.ParquetFile(fs.open_input_file(name))
 
 
-class BestOf:
-    """The N best items of each group seen so far: highest score, then smallest item in byte order."""
+def row_groups(files: DataFrame, score: str) -> DataFrame:
+    """ROW_GROUPS of the clustered files (``path``), from their footers. Statistics that a footer lacks leave NULLs."""
 
-    def __init__(self, n: int):
-        self.n, self.heaps = n, {}
-
-    def floor(self, low: str, high: str) -> float | None:
-        """The N-th score so far of the one group in a range; None while that group wants more, or where
-        several groups lie in the range: those are short enough to share a row group and are read."""
-        h = self.heaps.get(low) if low == high else None
-        return h[0][0] if h and len(h) == self.n else None
-
-    def add(self, group: str, score: float, item: str, row: tuple) -> None:
-        h = self.heaps.setdefault(group, [])
-        entry = (score, _Falling(item), row)
-        if len(h) < self.n:
-            heapq.heappush(h, entry)
-        elif entry[:2] > h[0][:2]:
-            heapq.heapreplace(h, entry)
-
-
-class _Falling:
-    """Orders strings from the last to the first in byte order."""
-
-    __slots__ = ("raw",)
-
-    def __init__(self, text: str):
-        self.raw = text.encode()
-
-    def __lt__(self, other: _Falling) -> bool:
-        return self.raw > other.raw
-
-    def __gt__(self, other: _Falling) -> bool:
-        return self.raw < other.raw
-
-    def __eq__(self, other: object) -> bool:
-        return self.raw == other.raw
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path in b["path"]:
+                meta = _open(path).metadata
+                at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+                for r in range(meta.num_row_groups):
+                    m = meta.row_group(r)
+                    g, s = (m.column(at[c]).statistics for c in ("group_key", score))
+                    known = g is not None and s is not None and g.has_min_max and s.has_min_max
+                    out.append((path, r, *((g.min, g.max, s.min, s.max) if known else (None,) * 4), m.num_rows))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in ROW_GROUPS.split(", ")])
+
+    return files.select("path").mapInPandas(run, ROW_GROUPS)
+
+
+def with_floors(groups: DataFrame, n: int) -> DataFrame:
+    """ROW_GROUPS with ``floor``, what the N-th score of all groups of a row group is at least; NULL where it is unknown.
+
+    Rows are sorted by group, so a row group that holds several groups holds the head of one of them, which no floor
+    may hide: floors are those of row groups that lie within one group. N row groups of a group are enough to know
+    it, whatever the group's size, as each has a row.
+    """
+    one = groups.where(F.col("low") == F.col("high"))
+    w = Window.partitionBy("low").orderBy(F.col("bottom").desc(), "path", "row_group")
+    best = one.withColumn("nth_", F.row_number().over(w)).where(F.col("nth_") <= n)
+    best = best.withColumn("rows_", F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    floors = best.where(F.col("rows_") >= n).groupBy(F.col("low").alias("of_")).agg(F.max("bottom").alias("floor"))
+    return groups.join(floors, (F.col("low") == F.col("of_")) & (F.col("low") == F.col("high")), "left").drop("of_")
 
 
-def read_best(paths: Sequence[str], n: int, score: str, item: str, columns: Sequence[str]) -> tuple[list[tuple], int, int]:
-    """Rows of the N best items per group in the files, row groups in all, and row groups skipped."""
-    queue, total, skipped, best = [], 0, 0, BestOf(n)
-    for f in paths:
-        meta = _open(f).metadata
-        at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
-        for r in range(meta.num_row_groups):
-            g, s = (meta.row_group(r).column(at[c]).statistics for c in ("group_key", score))
-            known = g is not None and s is not None and g.has_min_max and s.has_min_max
-            queue.append((s.max if known else float("inf"), f, r, g.min if known else "", g.max if known else "\U0010ffff"))
-    total = len(queue)
-    queue.sort(key=lambda q: -q[0])
+def read_best(chunks: pd.DataFrame, n: int, score: str, columns: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The N best rows of each group in each row group that is read, of ROW_GROUPS in descending order of their highest
+    score. What is remembered is the N-th score of groups that have a row group of their own, a number each."""
     files: dict[str, pq.ParquetFile] = {}
-    for top, f, r, low, high in queue:
-        floor = best.floor(low, high)
-        if floor is not None and top < floor:
-            skipped += 1
+    nth: dict[str, float] = {}
+    top = chunks["top"].fillna(np.inf)
+    for c in chunks.assign(top=top).sort_values(["top", "path", "row_group"], ascending=[False, True, True], kind="stable").itertuples(index=False):
+        if c.low is not None and c.low == c.high and c.top < nth.get(c.low, -np.inf):
             continue
-        t = files.setdefault(f, _open(f)).read_row_group(r, columns=["group_key", score, item, *columns])
-        for g, s, i, *rest in zip(*(t.column(c).to_pylist() for c in ["group_key", score, item, *columns])):
-            best.add(g, s, i, (*rest, s, i))
-    return [e[2] for h in best.heaps.values() for e in h], total, skipped
+        if c.path not in files:
+            files[c.path] = _open(c.path)
+        t = files[c.path].read_row_group(c.row_group, columns=["group_key", *columns])
+        # Sorted by group and falling score: a group's best rows are the first of its run.
+        key = t.column("group_key").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        kept = np.flatnonzero(np.arange(len(key)) - first[run] < n)
+        out = t.select(list(columns)).take(kept).to_pandas()
+        if c.low is not None and c.low == c.high and len(out) == n:
+            nth[c.low] = max(nth.get(c.low, -np.inf), float(out[score].iloc[-1]))
+        yield out
+
+
+def _candidates(items: DataFrame, group: Sequence[str], score: str, item: str) -> DataFrame:
+    require_columns(items, {*group, score, item})
+    ok = F.col(score).isNotNull() & ~F.isnan(score) & F.col(item).isNotNull()
+    for g in group:
+        ok = ok & F.col(g).isNotNull()
+    return items.where(ok & (F.col(score) > float("-inf"))).select(*group, F.col(score).cast("double").alias(score), F.col(item).cast("string").alias(item))
+
+
+def planned(items: DataFrame, group: Sequence[str], score: str, item: str, n: int = 10, row_group_bytes: int | None = None) -> DataFrame:
+    """ROW_GROUPS of the clustered candidates with their floors: which of them top_n() opens, and why."""
+    good = _candidates(items, group, score, item)
+    if row_group_bytes is None:
+        good = written(good, "candidates")
+        size = good.count() * 8 * (len(group) + 2)
+        row_group_bytes = min(MOST_BYTES, max(LEAST_BYTES, size // SHARE))
+    path = clustered(good, group, score, item, row_group_bytes)
+    files = items.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    # As many tasks as files: by the few bytes of their names adaptive execution would read them all in one.
+    files = files.repartitionByRange(max(1, min(files.count(), 20_000)), "path")
+    return written(with_floors(row_groups(files, score), n), "row-groups")
 
 
 def top_n(
-    items: DataFrame, group: Sequence[str], score: str, item: str, n: int = 10, row_group_bytes: int = ROW_GROUP_BYTES,
+    items: DataFrame, group: Sequence[str], score: str, item: str, n: int = 10, row_group_bytes: int | None = None,
 ) -> DataFrame:
     """(group, item, score, rank_no): the ``n`` highest scores of each group, ranks 1 to ``n``; equal scores
     by ``item`` in ascending byte order. Items repeated with an equal score count as often as they occur.
@@ -118,26 +139,20 @@ def top_n(
     Null, NaN and negative-infinity scores and null items or group columns are no candidates. A group with
     fewer items comes out whole; an empty table gives no rows; other columns are ignored.
     """
-    require_columns(items, {*group, score, item})
-    ok = F.col(score).isNotNull() & ~F.isnan(score) & F.col(item).isNotNull()
-    for g in group:
-        ok = ok & F.col(g).isNotNull()
-    good = items.where(ok & (F.col(score) > float("-inf"))).select(*group, F.col(score).cast("double").alias(score), F.col(item).cast("string").alias(item))
-    path = clustered(good, group, score, item, row_group_bytes)
-    spark = items.sparkSession
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    kinds = dict(good.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*group, score, item))
+    plan = planned(items, group, score, item, n, row_group_bytes)
+    kinds = dict(_candidates(items, group, score, item).dtypes)
+    columns = [*group, score, item]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            # Files of one task together: a range boundary inside a group is then seen once.
-            rows, _, _ = read_best(b["path"].tolist(), n, score, item, group)
-            if rows:
-                yield pd.DataFrame(rows, columns=[*group, score, item])
-
-    # As many tasks as files: by the few bytes of their names adaptive execution would read them all in one.
-    kept = files.repartitionByRange(max(1, min(files.count(), 20_000)), "path").mapInPandas(run, schema)
+        # A task's list of row groups is short; their rows come one row group at a time.
+        chunks = list(batches)
+        if chunks:
+            yield from read_best(pd.concat(chunks, ignore_index=True), n, score, columns)
+
+    opened = plan.where(F.col("floor").isNull() | (F.col("top") >= F.col("floor")))
+    tasks = max(1, min(opened.select("path").distinct().count(), 20_000))
+    kept = opened.repartition(tasks, "path").mapInPandas(run, schema)
     w = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(item))
     ranked = kept.withColumn("rank_no", F.row_number().over(w).cast("long"))
     return ranked.where(F.col("rank_no") <= n)

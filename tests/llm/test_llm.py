@@ -12,9 +12,9 @@ from hypothesis import strategies as st
 
 from barloom.llm.language import LanguageModel, fit_languages, label_languages, language_code, prose_blocks
 from barloom.llm.leaks import ItemIndex, leaked_items, plain_words
-from barloom.llm.nearest import NearestBuffer, nearest_join, nearest_stream
+from barloom.llm.nearest import NearestBuffer, nearest_join, nearest_replay, nearest_stream
 from barloom.llm.packing import pack, pack_documents
-from barloom.llm.topn import clustered, read_best, top_n
+from barloom.llm.topn import ROW_GROUPS, planned, top_n, with_floors
 
 MINUTE = 60_000_000
 
@@ -34,15 +34,30 @@ def test_top_n_skips_row_groups_and_keeps_the_result(spark):
     rng = random.Random(3)
     rows = [("hot", f"i{i:06d}", float(rng.randrange(5000))) for i in range(60_000)] + [(f"g{i % 50}", f"i{i:06d}", float(rng.randrange(50))) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, item string, s double").repartition(3)
-    path = clustered(df, ["g"], "s", "item", row_group_bytes=8_000)
-    files = sorted(f.removeprefix("file://") for f in spark.read.parquet(path).inputFiles())
-    read = [read_best([f], 10, "s", "item", ["g"]) for f in files]
-    assert sum(r[1] for r in read) > 10 and sum(r[2] for r in read) > 0.3 * sum(r[1] for r in read)
     want = {}
     for g, i, s in rows:
         want.setdefault(g, []).append((-s, i))
     want = {(g, k + 1, i) for g, xs in want.items() for k, (_, i) in enumerate(sorted(xs)[:10])}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as they are, several files
+    plan = planned(df, ["g"], "s", "item", 10, 8_000).toPandas()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    skipped = plan[plan["top"] < plan["floor"]]
+    # Most of the hot group lies in files and row groups that are never opened, and none of what is wanted does.
+    assert plan["path"].nunique() > 1 and len(skipped) > 0.7 * len(plan) and (skipped["low"] == skipped["high"]).all()
+    assert skipped["top"].max() < min(s for g, _, s in rows if (g, s) in {("hot", s) for _, _, s in sorted(rows, key=lambda r: -r[2])[:10]})
     assert {(r.g, r.rank_no, r.item) for r in top_n(df, ["g"], "s", "item", 10, 8_000).collect()} == want
+    assert {(r.g, r.rank_no, r.item) for r in top_n(df, ["g"], "s", "item", 10).collect()} == want
+
+
+def test_floors_need_n_rows_of_one_group(spark):
+    rows = [("a", 0, "x", "x", 5.0, 9.0, 6), ("a", 1, "x", "x", 4.0, 5.0, 4), ("b", 0, "x", "x", 1.0, 4.0, 9), ("b", 1, "x", "y", 0.0, 9.0, 50), ("c", 0, "z", "z", 1.0, 2.0, 9), ("c", 1, None, None, None, None, 3)]
+    got = with_floors(spark.createDataFrame(rows, ROW_GROUPS), 10).collect()
+    assert {(r.path, r.row_group): r.floor for r in got} == {("a", 0): 4.0, ("a", 1): 4.0, ("b", 0): 4.0, ("b", 1): None, ("c", 0): None, ("c", 1): None}
+
+
+def test_groups_that_only_together_read_the_same(spark):
+    df = spark.createDataFrame([("a\x1f1:b", "c", "i", 1.0), ("a", "b\x1f1:c", "j", 2.0)], "g string, h string, item string, s double")
+    assert {(r.g, r.rank_no) for r in top_n(df, ["g", "h"], "s", "item", 1).collect()} == {("a\x1f1:b", 1), ("a", 1)}
 
 
 # --- nearest time
@@ -122,6 +137,22 @@ def test_nearest_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert {i: got[i] for i in want if i in got} == {i: want[i] for i in want if i in got} and len(got) >= 100
 
 
+def test_replay_in_slices_against_brute_force(spark):
+    rng = random.Random(9)
+    left = [(rng.choice("aab"), i, rng.randrange(9000)) for i in range(200)]
+    right = [(rng.choice("abc"), 1000 + i, rng.randrange(9000), rng.choice([None, float("nan"), 0.5])) for i in range(150)]
+    lf, rf = frames(spark, left + left[:30] + [(None, 900, 5), ("a", 901, None), ("a", None, 5)], right + [("a", 7, None, 1.0)])
+    clean = [(k, i, t, None if v is None or v != v else v) for k, i, t, v in right]
+    want = nearest_brute(left, clean, 60)
+    for rows in (100, 1_000_000):
+        got = nearest_replay(lf, rf, ["k"], "lid", "lt", "rid", "rt", "v", 60_000_000, keep_unmatched=True, slice_rows=rows, group_rows=rows).collect()
+        assert len(got) == len(left) and {r.left_id: r.right_id for r in got} == want
+        assert all(r.value == 0.5 for r in got if r.right_id is not None)
+    only = nearest_replay(lf, rf, ["k"], "lid", "lt", "rid", "rt", "v", 60_000_000)
+    assert {r.left_id: r.right_id for r in only.collect()} == {i: r for i, r in want.items() if r is not None}
+    assert nearest_replay(lf.where("false"), rf.where("false"), ["k"], "lid", "lt", "rid", "rt", "v", 60_000_000).count() == 0
+
+
 # --- packing
 
 
@@ -138,6 +169,17 @@ def test_packing_leaves_little_room():
     assert x.sum() / (len(pack(x, 4096)) * 4096) > 0.985
 
 
+def test_one_id_repeated_is_many_groups(spark):
+    df = spark.createDataFrame([(7, "word " * (k % 50)) for k in range(400)], "doc_id long, text string")
+    got = pack_documents(df, capacity=256, group=40).collect()
+    assert len(got) == 400 and len({r.window_id >> 32 for r in got}) > 5
+
+
+def test_the_count_rises_no_further_than_needed():
+    assert [sorted(len(g) for g in pack(np.array([60] * n), 100)) for n in (3, 7, 50)] == [[1] * 3, [1] * 7, [1] * 50]
+    assert len(pack(np.array([40] * 7), 100)) == 4
+
+
 def test_pack_documents(spark):
     rows = [(1, "alpha beta gamma", "w"), (2, None, "w"), (3, "", "w"), (4, "word " * 3000, "w"), (5, "x", None), (5, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, window_id string")
