@@ -9,7 +9,7 @@ from zoneinfo import TZPATH, ZoneInfo, ZoneInfoNotFoundError
 
 import numpy as np
 
-FIRST_YEAR, LAST_YEAR = 1900, 2101
+FIRST_YEAR, LAST_YEAR = 1800, 2500
 _UTC = timezone.utc
 _EPOCH = datetime(1970, 1, 1, tzinfo=_UTC)
 
@@ -57,21 +57,30 @@ def transitions(zone: str, first_year: int = FIRST_YEAR, last_year: int = LAST_Y
     return np.array(at, np.int64), np.array(offsets, np.int64)
 
 
-def _years(wall: np.ndarray) -> tuple[int, int]:
-    """The quarter centuries around the times, so that a table covers no more years than are needed."""
-    year = lambda s: int(1970 + s // 31_556_952)
-    lo, hi = year(wall.min()) - 1, year(wall.max()) + 2
-    return max(FIRST_YEAR, lo // 25 * 25), min(LAST_YEAR, -(-hi // 25) * 25)
+#: Rules repeat with the calendar, every 400 years; before the first table every zone keeps its local mean time.
+CYCLE_S = 146_097 * 86_400
+_FIRST_S = int((datetime(FIRST_YEAR, 1, 2, tzinfo=_UTC) - _EPOCH).total_seconds())
+_LAST_S = int((datetime(LAST_YEAR, 1, 1, tzinfo=_UTC) - _EPOCH).total_seconds())
 
 
 def to_instants(wall: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Wall-clock seconds to (earliest, latest, how many) instants: 0 where the zone skips the time,
-    2 where it occurs twice. An unknown zone gives 0 throughout."""
-    lo, hi = _years(wall) if len(wall) else (1975, 2000)
-    if (t := transitions(zone, lo, max(hi, lo + 25))) is None:
-        none = np.zeros(len(wall), np.int64)
-        return none, none, none
-    at, off = t
+    2 where it occurs twice. An unknown zone gives 0 throughout. Any year is converted: one beyond the tables
+    as the year some 400s before it, which has the same calendar and rules, one before them by the first offset."""
+    early, late, count = (np.zeros(len(wall), np.int64) for _ in range(3))
+    moved = np.maximum(0, -(-(wall - _LAST_S) // CYCLE_S)) * CYCLE_S + np.minimum(0, wall - _FIRST_S)
+    wall = wall - moved
+    # A table per quarter century, so that it covers no more years than are needed.
+    quarter = (1970 + wall // 31_556_952) // 25
+    for q in np.unique(quarter).tolist():
+        r = np.flatnonzero(quarter == q)
+        if (t := transitions(zone, max(FIRST_YEAR, 25 * q - 2), 25 * q + 27)) is None:
+            continue
+        early[r], late[r], count[r] = _by_table(wall[r], *t)
+    return early + moved, late + moved, count
+
+
+def _by_table(wall: np.ndarray, at: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of = lambda s: off[np.searchsorted(at, s, side="right")]
     before, after = of(wall - 86_400), of(wall + 86_400)
     a, b = wall - before, wall - after

@@ -5,16 +5,16 @@
     quoted  = '"' { any but '"' | '""' } '"'      directly before a comma or the end
     bare    = { any but ',' and '"' }
 
-The grammar is parsed by recursive descent. In running text, where a broken quote may swallow the
-lines behind it, parsing resumes at the next validated record start (anchor): a line that begins with
-a 13- or 16-digit epoch and a comma, or a header.
+The grammar is parsed by recursive descent over running text. Where a broken quote may swallow the records
+behind it, parsing resumes at the next validated record start (anchor): a start the source vouches for, as a
+table with one line a row does, else a line that begins with a 13- or 16-digit epoch and a comma, or a header.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -111,31 +111,35 @@ def _judge(values: list[str], starts: list[int]) -> tuple:
     return ("BAR", None, None, None, *out)
 
 
-def parse_line(line: str | None) -> tuple:
-    """Status row (see PARSED) of one line. A null line has no field at all: COLUMN_COUNT."""
-    if line is None:
-        return ("FAIL", "COLUMN_COUNT", 1, 1) + (None,) * 11
-    if line.endswith("\r"):
-        line = line[:-1]
-    if line.startswith("﻿") and line[1:2] == '"' and line.startswith('"open_time"', 1):
-        line = line[1:]
+def _row_at(text: str, i: int, end: int, stop: re.Pattern = _BARE) -> tuple[tuple, int | None]:
+    """Status row of the record at i and where it ends; None where a broken quote leaves the end unknown."""
     try:
-        values, starts, _ = _record(line, 0, len(line))
+        values, starts, j = _record(text, i, end, stop)
     except Broken as e:
-        return ("FAIL", "BROKEN_QUOTING", e.field, e.at + 1) + (None,) * 11
-    return _judge(values, starts)
+        return ("FAIL", "BROKEN_QUOTING", e.field, e.at - i + 1) + (None,) * 11, None
+    return _judge(values, [x - i for x in starts]), j
 
 
-def parse_text(text: str) -> Iterator[tuple[int, tuple]]:
+def parse_text(text: str, anchors: Sequence[int] | None = None) -> Iterator[tuple[int, tuple]]:
     """(line number from 1, status row) of every record of a text of many lines. Quoted fields may span
-    lines. After a broken quote the text up to the next anchor belongs to the failed record."""
-    i, line, n = 0, 1, len(text)
+    lines. After a broken quote the text up to the next anchor belongs to the failed record.
+
+    ``anchors`` are record starts that are known, as of a table that has one record a row: then no record reaches
+    beyond the next of them, each is parsed to its end and gets the anchor's number. Without them an anchor is
+    a line that begins as a record does.
+    """
+    n = len(text)
+    if anchors is not None:
+        for k, i in enumerate(anchors):
+            end = anchors[k + 1] - 1 if k + 1 < len(anchors) else n
+            end -= end > i and text[end - 1] == "\r"
+            i += text[i:i + 1] == "\ufeff" and text.startswith('"open_time"', i + 1)
+            yield k + 1, _row_at(text, i, end)[0]
+        return
+    i, line = 0, 1
     while i < n:
-        try:
-            values, starts, j = _record(text, i + (text[i] == "﻿"), n, _BARE_LINE)
-            row = _judge(values, [x - i for x in starts])
-        except Broken as e:
-            row = ("FAIL", "BROKEN_QUOTING", e.field, e.at - i + 1) + (None,) * 11
+        row, j = _row_at(text, i + (text[i] == "\ufeff"), n, _BARE_LINE)
+        if j is None:
             eol = text.find("\n", i)
             m = _ANCHOR.search(text, eol + 1) if eol >= 0 else None
             j = m.start() - 1 if m else n
@@ -146,9 +150,23 @@ def parse_text(text: str) -> Iterator[tuple[int, tuple]]:
         i = j + 1
 
 
+def parse_line(line: str | None) -> tuple:
+    """Status row (see PARSED) of one line. A null line has no field at all: COLUMN_COUNT."""
+    if line is None:
+        return ("FAIL", "COLUMN_COUNT", 1, 1) + (None,) * 11
+    return next(parse_text(line, [0]))[1]
+
+
 def parse_lines(lines: pd.Series) -> pd.DataFrame:
-    """parse_line() of each line."""
-    out = pd.DataFrame([parse_line(x) for x in lines.where(lines.notna(), None)], columns=_NAMES)
+    """Status rows of lines, which are parsed as one running text with a known record start at each line's head."""
+    texts = lines.fillna("").tolist()
+    anchors, at = [], 0
+    for t in texts:
+        anchors.append(at)
+        at += len(t) + 1
+    rows = [r for _, r in parse_text("\n".join(texts), anchors)] if texts else []
+    nothing = parse_line(None)
+    out = pd.DataFrame([nothing if gone else r for r, gone in zip(rows, lines.isna())], columns=_NAMES)
     for c in ("field", "position", "open_us", "close_us", "trade_count"):
         out[c] = out[c].astype("Int64")
     return out

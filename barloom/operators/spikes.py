@@ -23,10 +23,11 @@ def _middle(values: Column) -> Column:
     return F.when(n > 0, (F.element_at(s, lo) + F.element_at(s, hi)) / 2)
 
 
-def departures(bars: DataFrame, fields: Sequence[str] = FIELDS, reach: int = REACH, run: int = RUN, block: int = BLOCK) -> DataFrame:
+def departures(bars: DataFrame, fields: Sequence[str] = FIELDS, reach: int = REACH, run: int = RUN, block: int = BLOCK, signed: bool = False) -> DataFrame:
     """Every reading with the flags that need no comparison across its series: SERIES, slot_no,
     impossible, stuck, and dep_{field}, the absolute log ratio of a positive value to the median of the
-    positive values within ``reach`` slots either side.
+    positive values within ``reach`` slots either side. ``signed`` keeps the ratio's sign and adds step_{field}, the log
+    ratio to the slot before.
 
     A block borrows ``reach`` slots from its neighbours, so a series of any length splits into blocks
     and one shuffle with one sort serves all flags.
@@ -52,10 +53,19 @@ def departures(bars: DataFrame, fields: Sequence[str] = FIELDS, reach: int = REA
     for f in fields:
         good = F.when(F.col(f) > 0, F.col(f))
         r = r.withColumn(f"near_{f}", F.collect_list(good).over(near))
-    deps = [F.abs(F.ln(F.when(F.col(f) > 0, F.col(f)) / _middle(F.col(f"near_{f}")))).alias(f"dep_{f}") for f in fields]
+    log = {f: F.ln(F.when(F.col(f) > 0, F.col(f)) / _middle(F.col(f"near_{f}"))) for f in fields}
+    deps = [(x if signed else F.abs(x)).alias(f"dep_{f}") for f, x in log.items()]
+    if signed:
+        adjacent = F.lag("slot_no").over(w) == F.col("slot_no") - 1
+        good = lambda c: F.when(c > 0, c)
+        deps += [F.when(adjacent, F.ln(good(F.col(f)) / good(F.lag(f).over(w)))).alias(f"step_{f}") for f in fields]
     return r.where("own").select(*SERIES, "slot_no", "impossible", "stuck", *deps)
 
 
+def hour_of_day() -> Column:
+    return F.pmod(F.floor(F.col("slot_no") * step_us(F.col("timeframe")) / F.lit(3_600_000_000)), F.lit(24)).cast("int")
+
+
 def usual_departures(deps: DataFrame, fields: Sequence[str] = FIELDS, context: str = "series", k: int = 1024) -> DataFrame:
     """Median departure of each field per series, or per series and hour of day (``context='hour'``).
 
@@ -63,8 +73,7 @@ def usual_departures(deps: DataFrame, fields: Sequence[str] = FIELDS, context: s
     for the series, across hours. Up to about ``k`` values a sketch is exact; beyond, its rank error is
     under half a percent.
     """
-    hour = F.pmod(F.floor(F.col("slot_no") * step_us(F.col("timeframe")) / F.lit(3_600_000_000)), F.lit(24)).cast("int")
-    s = deps.groupBy(*SERIES, hour.alias("hour")).agg(
+    s = deps.groupBy(*SERIES, hour_of_day().alias("hour")).agg(
         *[F.kll_sketch_agg_double(F.col(f"dep_{f}"), F.lit(k)).alias(f"q_{f}") for f in fields])
     keys = [*SERIES, "hour"]
     if context == "series":
@@ -89,8 +98,7 @@ def flag_readings(
     usual = measured_broadcast(written(usual_departures(deps, fields, context), "usual"))
     keys = list(SERIES)
     if context == "hour":
-        hour = F.pmod(F.floor(F.col("slot_no") * step_us(F.col("timeframe")) / F.lit(3_600_000_000)), F.lit(24)).cast("int")
-        deps, keys = deps.withColumn("hour", hour), [*SERIES, "hour"]
+        deps, keys = deps.withColumn("hour", hour_of_day()), [*SERIES, "hour"]
     j = deps.join(usual, keys, "left")
     spike = F.lit(False)
     for f in fields:
@@ -98,3 +106,31 @@ def flag_readings(
     kinds = F.array_compact(F.array(
         F.when(F.col("impossible"), "IMPOSSIBLE"), F.when(F.col("stuck"), "STUCK"), F.when(spike, "SPIKE")))
     return j.select(*SERIES, "slot_no", F.explode(kinds).alias("kind"))
+
+
+def fences(values: DataFrame, names: Sequence[str], expand: float, least: int, k: int = 1024) -> DataFrame:
+    """low_ and high_ of each column per series and hour of day: the quartiles, ``expand`` interquartile ranges further
+    out, from sketches merged across partitions. NULL where an hour has fewer than ``least`` values or no spread."""
+    s = values.groupBy(*SERIES, hour_of_day().alias("hour")).agg(*[F.kll_sketch_agg_double(n, F.lit(k)).alias(f"q_{n}") for n in names])
+    out = []
+    for n in names:
+        at = lambda p, q=f"q_{n}": F.kll_sketch_get_quantile_double(F.col(q), F.lit(p))
+        enough = F.kll_sketch_get_n_double(f"q_{n}") >= least
+        q1, q3 = F.when(enough, at(0.25)), F.when(enough, at(0.75))
+        out += [F.when(q3 > q1, q1 - expand * (q3 - q1)).alias(f"low_{n}"), F.when(q3 > q1, q3 + expand * (q3 - q1)).alias(f"high_{n}")]
+    return s.select(*SERIES, "hour", *out)
+
+
+def fenced_readings(bars: DataFrame, expand: float = 9.0, least: int = 12, fields: Sequence[str] = FIELDS, block: int = BLOCK) -> DataFrame:
+    """Flags (SERIES, slot_no, kind) against each source's normal behaviour in that hour of the day: IMPOSSIBLE and STUCK
+    as in flag_readings; SPIKE, a field whose log ratio to the level around it lies outside the expanded interquartile
+    fences of its series and hour; JUMP, one whose log ratio to the slot before lies outside the fences of such ratios.
+    Hours with fewer than ``least`` values, or without spread, have no fences; nulls are not judged."""
+    deps = written(departures(bars, fields, block=block, signed=True), "departures")
+    names = [f"{k}_{f}" for k in ("dep", "step") for f in fields]
+    usual = measured_broadcast(written(fences(deps, names, expand, least), "fences"))
+    j = deps.withColumn("hour", hour_of_day()).join(usual, [*SERIES, "hour"], "left")
+    out = lambda kind: F.greatest(*[F.coalesce((F.col(f"{kind}_{f}") < F.col(f"low_{kind}_{f}")) | (F.col(f"{kind}_{f}") > F.col(f"high_{kind}_{f}")), F.lit(False)) for f in fields])
+    kinds = F.array_compact(F.array(
+        F.when(F.col("impossible"), "IMPOSSIBLE"), F.when(F.col("stuck"), "STUCK"), F.when(out("dep"), "SPIKE"), F.when(out("step"), "JUMP")))
+    return j.select(*SERIES, "slot_no", F.explode(kinds).alias("kind"))

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions import zones
 from barloom.operators.slots import micros, step_us
-from barloom.plans.materialize import measured_broadcast
+from barloom.plans.materialize import measured_broadcast, written
 from barloom.sources.tables import require_columns
 
 _ADDED = ("open_ms", "close_ms", "open_status", "close_status", "tz_version")
-INSTANT = "early_ms long, late_ms long, status string"
+INSTANT = "early_ms long, late_ms long, status string, release string"
 _SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "a" for r in (range(65, 91), range(97, 123)) for c in r}})
 _BLANKS = " \t\r\n"
 
@@ -48,13 +48,21 @@ class Semantics:
     compact: bool = False
     serial_epoch: int = 25569
     abbreviations: tuple = field(default=())
+    known: bool = True
+
+
+# Words that a description of times uses; one that has none of them is not understood.
+_TOLD = re.compile(r"wall clock|epoch|zone as written|zone abbreviation|offset|serial day|1970-01-01|first")
 
 
 @lru_cache(4096)
 def read_semantics(text: str | None) -> Semantics:
     """The description's zone, field order, number unit and fixed zone abbreviations. A missing
-    description means that rows carry their own zone."""
+    description means that rows carry their own zone; of one that is not understood only times with a zone of their
+    own are read."""
     t = text or ""
+    if t and not _TOLD.search(t):
+        return Semantics("none", known=False)
     zone = re.search(r"wall clock ([A-Za-z_]+(?:/[A-Za-z_+-]+)*)", t)
     order = "day" if "day first" in t else "month" if "month first" in t else "year"
     number = "none" if zone and "zone as written" not in t else "magnitude"
@@ -121,7 +129,8 @@ def _convert(texts: np.ndarray, mask: str, sem: Semantics) -> tuple[np.ndarray,
     """All texts of one mask under one description: early_ms, late_ms, number of instants (-1: unreadable)."""
     n = len(texts)
     bad = (np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64))
-    if (found := parser_of(mask)) is None:
+    # Long masks are rare and not kept.
+    if (found := parser_of(mask) if len(mask) <= 80 else parser_of.__wrapped__(mask)) is None:
         return bad
     kind, at = found
     if kind == "compact":
@@ -220,22 +229,23 @@ def _convert_date(texts, at, sem, bad):
 
 
 def convert(texts: pd.Series, semantics: pd.Series) -> pd.DataFrame:
-    """early_ms, late_ms and status (OK, AMBIGUOUS, SKIPPED, UNREADABLE) of each text."""
+    """early_ms, late_ms and status (OK, AMBIGUOUS, SKIPPED, UNREADABLE, UNKNOWN_SEMANTICS) of each text, and the release
+    of the zone tables of the worker that read it."""
     n = len(texts)
-    early, late, count = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    early, late, count, told = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64), np.ones(n, bool)
     clean = [None if t is None else t.strip(_BLANKS) for t in texts.where(texts.notna(), None)]
     groups: dict[tuple, list[int]] = {}
     for i, (t, s) in enumerate(zip(clean, semantics.where(semantics.notna(), None))):
-        if t and len(t) <= 80:
+        if t:
             groups.setdefault((t.translate(_SHAPE), s), []).append(i)
     for (mask, s), rows in groups.items():
         r = np.array(rows)
         e, la, c = _convert(np.array([clean[i] for i in rows]), mask, read_semantics(s))
-        early[r], late[r], count[r] = e, la, c
-    status = np.select([count == 1, count == 2, count == 0], ["OK", "AMBIGUOUS", "SKIPPED"], "UNREADABLE")
+        early[r], late[r], count[r], told[r] = e, la, c, read_semantics(s).known
+    status = np.select([count == 1, count == 2, count == 0, ~told], ["OK", "AMBIGUOUS", "SKIPPED", "UNKNOWN_SEMANTICS"], "UNREADABLE")
     gone = count < 1
     return pd.DataFrame({
-        "early_ms": pd.Series(early, dtype="Int64").mask(gone), "late_ms": pd.Series(late, dtype="Int64").mask(gone), "status": status})
+        "early_ms": pd.Series(early, dtype="Int64").mask(gone), "late_ms": pd.Series(late, dtype="Int64").mask(gone), "status": status, "release": zones.version()})
 
 
 def instants(texts: Column, semantics: Column) -> Column:
@@ -254,7 +264,7 @@ def normalised_times(records: DataFrame, semantics: DataFrame) -> DataFrame:
     open_status, close_status and tz_version, the release of the zone tables.
 
     ``semantics`` (dataset, timestamp_semantics) is one row per dataset and is measured before it is
-    broadcast. A text that is null, blank, longer than 80 characters or of unknown shape, an impossible
+    broadcast. A text that is null, blank or of unknown shape, an impossible
     date and a wall-clock time that its zone skips denote nothing. Of a wall-clock time that occurs
     twice, the close is the latest candidate not behind received_at; without received_at the one that
     fits the open, else the earlier. The open is the candidate nearest to one timeframe before the
@@ -263,8 +273,8 @@ def normalised_times(records: DataFrame, semantics: DataFrame) -> DataFrame:
     """
     require_columns(records, {"dataset", "timeframe", "open_time", "close_time", "received_at"})
     require_columns(semantics, {"dataset", "timestamp_semantics"})
-    small = measured_broadcast(semantics.groupBy(F.col("dataset").alias("sem_dataset_")).agg(
-        F.max("timestamp_semantics").alias("sem_")), row_bytes=256)
+    small = measured_broadcast(written(semantics.groupBy(F.col("dataset").alias("sem_dataset_")).agg(
+        F.max("timestamp_semantics").alias("sem_")), "semantics"))
     # The record travels as one column, so its other columns' names cannot clash with those used here.
     kept = [F.col(x) for x in records.columns if x not in _ADDED]
     r = records.select(
@@ -281,4 +291,4 @@ def normalised_times(records: DataFrame, semantics: DataFrame) -> DataFrame:
     open_ = F.when((o["status"] == "AMBIGUOUS") & F.col("close_ms_").isNotNull(), _nearest(o, F.col("close_ms_") - step)).otherwise(o["early_ms"])
     return j.select(
         "row_.*", open_.cast("long").alias("open_ms"), F.col("close_ms_").alias("close_ms"),
-        o["status"].alias("open_status"), c["status"].alias("close_status"), F.lit(zones.version()).alias("tz_version"))
+        o["status"].alias("open_status"), c["status"].alias("close_status"), o["release"].alias("tz_version"))

@@ -9,7 +9,7 @@ from barloom.operators.grid import RANGE, audited_ranges, regular_grid
 from barloom.operators.parsing import failed_lines, loaded_bars, parse_bars
 from barloom.operators.rolling import rolling_totals
 from barloom.operators.slots import SERIES, slot_no, step_us
-from barloom.operators.spikes import flag_readings
+from barloom.operators.spikes import fenced_readings, flag_readings
 from barloom.operators.timestamps import normalised_times
 from barloom.sources.tables import table
 
@@ -31,7 +31,8 @@ def _daily_totals(spark: SparkSession, d: str) -> DataFrame:
 def p1_totals(spark: SparkSession, d: str) -> DataFrame:
     """Trailing 7- and 30-day totals and averages of every audited day, idle days included."""
     t = _daily_totals(spark, d)
-    values = [F.col(c).cast("double").alias(c) for c in t.columns if c.startswith(("total_", "avg_"))]
+    values = [(F.col(c).cast("double") + F.col(c.replace("total_", "rest_"))).alias(c) for c in t.columns if c.startswith("total_")]
+    values += [F.col(c) for c in t.columns if c.startswith("avg_")]
     return t.select("market", "symbol", "trade_day", "day_no", "status", *values)
 
 
@@ -39,8 +40,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     t = _daily_totals(spark, d).where(F.col("day_no") >= 30)
     rows = []
     for m in MEASURES:
-        week, month = F.col(f"total_{m}_7"), F.col(f"total_{m}_30")
-        kind = F.when((week == 0) & (month > 0), "QUIET").when(week * 10 > month * 6, "SURGE")
+        week, month, over_w, over_m = (F.col(f"{c}_{m}_{p}") for c in ("total", "rest") for p in (7, 30))
+        # Decimals against decimals first, so that rounding decides nothing.
+        lead = (week * 10 - month * 6).cast("double") + (over_w * 10 - over_m * 6)
+        quiet = (week == 0) & (over_w == 0) & (month.cast("double") + over_m > 0)
+        kind = F.when(quiet, "QUIET").when(lead > 0, "SURGE")
         rows.append(F.struct(F.lit(m).alias("measure"), kind.alias("kind")))
     return t.select("market", "symbol", "trade_day", F.inline(F.array(*rows))).where(F.col("kind").isNotNull()).distinct()
 
@@ -96,6 +100,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return flag_readings(table(spark, d, "klines")).select(*SERIES, _slot_ms(), "kind")
 
 
+def p7_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """Readings outside the expanded interquartile fences of their series in that hour of the day, or that moved from
+    the slot before beyond those of the series' moves in that hour, beside impossible and stuck ones."""
+    return fenced_readings(table(spark, d, "klines")).select(*SERIES, _slot_ms(), "kind")
+
+
 def p7_invariant(spark: SparkSession, d: str) -> DataFrame:
     """Impossible readings within each audited range, next to the verdict on record."""
     audits = table(spark, d, "integrity_summary")
@@ -111,7 +121,7 @@ def p7_invariant(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_totals, p2_found, p2_bars, p4_found, p4_unreadable, p6_found, p6_grid, p6_missing, p7_found, p7_invariant)}
+    p1_found, p1_totals, p2_found, p2_bars, p4_found, p4_unreadable, p6_found, p6_grid, p6_missing, p7_found, p7_hourly, p7_invariant)}
 
 _READ = """
 steps AS (SELECT *, CASE timeframe WHEN '1m' THEN 60 WHEN '15m' THEN 900 WHEN '1h' THEN 3600 WHEN '4h' THEN 14400 ELSE 86400 END * 1000000::BIGINT AS st FROM klines),

@@ -69,3 +69,12 @@ def test_frames(spark, tmp_path):
     (tmp_path / "a.csv").write_text(GOOD + "\n" + line(_3='"3') + "\n" + GOOD + "\n")
     f = read_bar_files(spark, str(tmp_path))
     assert sorted((r.line_no, r.parsed.status) for r in f.collect()) == [(1, "BAR"), (2, "FAIL"), (3, "BAR")]
+
+
+def test_known_starts_end_what_a_broken_quote_swallows():
+    lines = [GOOD, '"1,2', "x,y", GOOD + "\r", "", line(_1='"3'), GOOD]
+    starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+    got = list(parse_text("\n".join(lines), starts))
+    assert [k for k, _ in got] == list(range(1, 8)) and [r[:2] for _, r in got] == [parse_line(x)[:2] for x in lines]
+    # Without them the text up to the next line that begins as a record does belongs to the broken one.
+    assert [(k, r[0]) for k, r in parse_text("\n".join(lines))] == [(1, "BAR"), (2, "FAIL"), (4, "BAR"), (5, "FAIL"), (6, "FAIL"), (7, "BAR")]

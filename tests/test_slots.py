@@ -99,3 +99,24 @@ def test_segments_across_blocks(spark, klines, block):
     assert got == {i: (s, i - f) for s, (f, xs) in enumerate([(0, at[:3]), (5, at[3:11]), (20, [20]), (30, [30, 31])]) for i in xs}
     t = {r.segment_id: (r.bars, r.gap_size_bars) for r in segment_table(b).collect()}
     assert t == {0: (3, 0), 1: (8, 2), 2: (1, 7), 3: (2, 9)}
+
+
+def test_rolling_totals_have_no_bounds(spark):
+    values = [1e-12, 0.0, 1e25, None, float("nan"), float("inf"), 2e25] + [0.0] * 8
+    days = spark.createDataFrame([("e", k, v) for k, v in enumerate(values)], "e string, d long, v double")
+    r = rolling_totals(days, ["e"], "d", ["v"], (2,)).orderBy("d").collect()
+    total = [float(x.total_v_2) + x.rest_v_2 for x in r]
+    assert total[0] == 1e-12 and abs(total[3] / 1e25 - 1) < 1e-12 and abs(total[6] / 2e25 - 1) < 1e-12 and total[8:] == [0.0] * 7
+
+
+def test_fences_know_the_hour(spark, klines):
+    from barloom.operators.spikes import fenced_readings
+
+    rng = np.random.default_rng(5)
+    # Ten days of hours: wide at noon, narrow otherwise. The same move is normal at noon only.
+    rows = [("A", k, float(100 * np.exp(rng.normal(0, 0.2 if k % 24 == 12 else 0.001))), 1, None) for k in range(240)]
+    rows[135] = ("A", 135, 140.0, 1, None)
+    flags = {(r.slot_no - 473_352, r.kind) for r in fenced_readings(klines(rows, "1h"), least=8).collect()}
+    hours = {k for k, kind in flags if kind == "SPIKE"}
+    assert 135 in hours and (135, "JUMP") in flags and not any(k % 24 == 12 for k in hours)
+    assert fenced_readings(klines(rows, "1h").where("false")).count() == 0

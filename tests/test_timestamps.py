@@ -85,3 +85,26 @@ def test_times_that_occur_twice(spark):
     assert r[4] == (ms(2016, 10, 30, 0, 45), ms(2016, 10, 30, 0, 59, 59))
     assert r[5] == (ms(2016, 10, 30, 2, 45), ms(2016, 10, 30, 2, 59, 59)) and r[6] == (None, None)
     assert normalised_times(v.drop("sem_"), s).count() == 7 and normalised_times(v.where("false"), s).count() == 0
+
+
+def test_years_beyond_any_table():
+    from datetime import datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    wall = lambda *a: int((datetime(*a) - datetime(1970, 1, 1)).total_seconds())
+    w = np.array([wall(2020, 7, 1, 12), wall(2600, 7, 1, 12), wall(9000, 1, 15, 3), wall(1850, 5, 5, 5), wall(1700, 5, 5, 5), wall(2150, 12, 31, 23)])
+    early, late, count = to_instants(w, "Europe/Berlin")
+    assert count.tolist() == [1] * 6 and (early == late).all()
+    for s, e in zip(w.tolist(), early.tolist()):
+        at = datetime(1970, 1, 1) + timedelta(seconds=s)
+        assert s - e == at.replace(tzinfo=ZoneInfo("Europe/Berlin")).utcoffset().total_seconds(), at
+    # The last Sunday of March 2600: an hour is skipped, as in any year.
+    day = next(d for d in range(31, 24, -1) if datetime(2600, 3, d).weekday() == 6)
+    assert to_instants(np.array([wall(2600, 3, day, 2, 30)]), "Europe/Berlin")[2].tolist() == [0]
+
+
+def test_descriptions_not_understood_and_long_texts():
+    texts = pd.Series(["2024-03-01 10:00:00", "2024-03-01T10:00:00Z", "1709287200000", "2024-03-01 10:00:00." + "0" * 200])
+    assert convert(texts, pd.Series(["as the desk likes it"] * 4))["status"].tolist() == ["UNKNOWN_SEMANTICS", "OK", "UNKNOWN_SEMANTICS", "UNKNOWN_SEMANTICS"]
+    got = convert(texts, pd.Series(["wall clock UTC, year first, no zone written"] * 4))
+    assert got["status"].tolist() == ["OK", "OK", "UNREADABLE", "OK"] and got["early_ms"][3] == got["early_ms"][0] and (got["release"].str.len() > 0).all()
