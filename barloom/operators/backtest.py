@@ -7,6 +7,7 @@ Runs are segments, so no trade crosses missing bars.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.exprs import sdiv
+from barloom.operators.ranks import quantiles
 from barloom.operators.slots import SERIES
 from barloom.plans.grouped import map_groups
 from barloom.plans.materialize import written
@@ -111,47 +113,92 @@ def non_overlapping(candidates: DataFrame, keys: Sequence[str], pos: str, block:
     return map_groups(c.join(free, chunk_keys), chunk_keys, [pos], scanned, ddl)
 
 
+@dataclass(frozen=True)
+class Costs:
+    """Costs in basis points: fees a side by mode, the spread assumed where a bar has none, slippage a side; and the
+    bars that pass before an order is filled."""
+
+    maker_fee_bps: float = 2.0
+    taker_fee_bps: float = 5.0
+    spread_bps: float = 2.0
+    slippage_bps: float = 1.0
+    latency_bars: int = 0
+
+    def fee_bps(self, mode: str) -> float:
+        if mode not in ("maker", "taker"):
+            raise ValueError("a fee mode is maker or taker")
+        return self.maker_fee_bps if mode == "maker" else self.taker_fee_bps
+
+    def round_trip(self, mode: str = "taker") -> float:
+        """Fees, spread and slippage of one entry and exit without quotes, as a share."""
+        return (2 * self.fee_bps(mode) + self.spread_bps + 2 * self.slippage_bps) / 10_000
+
+
 def trades(
-    bars: DataFrame, signal: str, holding: int = 4, latency: int = 0, fee_bps: float = 5.0, slippage_bps: float = 1.0, spread_bps: float = 2.0,
-    long_only: Column | None = None, size: int = SIZE,
+    bars: DataFrame, signal: str, holding: int = 4, costs: Costs = Costs(), fee_mode: str = "taker", long_only: Column | None = None,
+    spread: str | None = None, funding: str | None = None, size: int = SIZE, keys: Sequence[str] = RUN,
 ) -> DataFrame:
-    """Trades of a signal column: RUN, decision slot and position, direction, entry, exit, gross, costs, net, mfe, mae.
+    """Trades of a signal column: keys, decision slot and position, direction, holding_bars, entry, exit, gross, fee, spread,
+    slippage, funding, net, mfe, mae and the first bars, from 1, at which these are reached; entry_cost and exit_cost
+    are what either side pays.
 
     NULL and 0 signals decide nothing; where ``long_only`` holds, neither do negative ones. A decision needs both
-    opens within the segment and above 0. net = gross - 2 fee - spread - 2 slippage (basis points).
+    opens within the segment and above 0. ``spread`` is a column of basis points, whose NULLs are the assumed spread: half
+    is paid at entry, half of the exit bar's at exit. ``funding`` is a column of rates that a position pays (short: earns)
+    for every bar from entry up to, not including, exit; outside ``long_only`` a NULL among a taken trade's is an error.
+    net = gross - fee - spread - slippage - funding.
     """
     s = F.signum(F.coalesce(F.col(signal).cast("double"), F.lit(0.0)))
-    if long_only is not None:
-        s = F.when(long_only & (s < 0), 0.0).otherwise(s)
+    spot = F.lit(False) if long_only is None else long_only
+    s = F.when(spot & (s < 0), 0.0).otherwise(s)
+    latency, fee = costs.latency_bars, costs.fee_bps(fee_mode)
     reach = 1 + latency + holding
     b = ahead_chunks(bars, reach, size)
-    w = Window.partitionBy(*RUN, "chunk").orderBy("pos")
+    w = Window.partitionBy(*keys, "chunk").orderBy("pos")
     path = w.rowsBetween(1 + latency, latency + holding)
+    quoted = F.coalesce(F.col(spread).cast("double"), F.lit(costs.spread_bps)) if spread else F.lit(costs.spread_bps)
+    b = b.withColumn("quoted_", quoted)
+    paid = [F.sum(funding).over(path).alias("paid_"), F.count(funding).over(path).alias("known_")] if funding else [F.lit(0.0).alias("paid_"), F.lit(holding).alias("known_")]
     b = b.select(
-        *RUN, "slot_no", "pos", "own", s.alias("direction"), F.lead("open", 1 + latency).over(w).alias("entry"), F.lead("open", reach).over(w).alias("exit"),
-        F.max("high").over(path).alias("hi_"), F.min("low").over(path).alias("lo_"))
+        *keys, "slot_no", "pos", "own", s.alias("direction"), F.lead("open", 1 + latency).over(w).alias("entry"), F.lead("open", reach).over(w).alias("exit"),
+        F.lead("quoted_", 1 + latency).over(w).alias("s_in_"), F.lead("quoted_", reach).over(w).alias("s_out_"), spot.alias("spot_"), *paid,
+        F.collect_list("high").over(path).alias("hi_"), F.collect_list("low").over(path).alias("lo_"))
     b = b.where(F.col("own") & (F.col("direction") != 0) & (F.col("entry") > 0) & (F.col("exit") > 0)).drop("own")
-    t = non_overlapping(b, RUN, "pos", reach, size)
+    t = non_overlapping(b, keys, "pos", reach, size)
+    if funding:
+        gap = ~F.col("spot_") & (F.col("known_") < holding)
+        t = t.where(F.when(gap, F.raise_error(F.lit("a futures trade without funding"))).otherwise(F.lit(True)))
     d, e = F.col("direction"), F.col("entry")
-    up, down = d * (F.col("hi_") / e - 1), d * (F.col("lo_") / e - 1)
-    cost = F.lit((2 * fee_bps + spread_bps + 2 * slippage_bps) / 10_000)
-    gross = d * (F.col("exit") / e - 1)
-    return t.select(*RUN, "slot_no", "pos", "direction", "entry", "exit", gross.alias("gross"), cost.alias("cost"), (gross - cost).alias("net"),
-                    F.greatest(up, down).alias("mfe"), F.least(up, down).alias("mae"))
+    top, bottom = F.array_max("hi_"), F.array_min("lo_")
+    up, down = d * (top / e - 1), d * (bottom / e - 1)
+    at_top, at_bottom = F.array_position("hi_", top), F.array_position("lo_", bottom)
+    bps = lambda x: x / F.lit(10_000.0)
+    side = fee + costs.slippage_bps
+    out = t.select(
+        *keys, "slot_no", "pos", "direction", (~F.col("spot_")).alias("pays_funding"), F.lit(holding).alias("holding_bars"), "entry", "exit", (d * (F.col("exit") / e - 1)).alias("gross"),
+        F.lit(2 * fee / 10_000).alias("fee"), bps((F.col("s_in_") + F.col("s_out_")) / 2).alias("spread"), F.lit(2 * costs.slippage_bps / 10_000).alias("slippage"),
+        F.when(F.col("spot_"), 0.0).otherwise(d * F.coalesce("paid_", F.lit(0.0))).alias("funding"), F.greatest(up, down).alias("mfe"), F.least(up, down).alias("mae"),
+        F.when(d > 0, at_top).otherwise(at_bottom).alias("bars_to_mfe"), F.when(d > 0, at_bottom).otherwise(at_top).alias("bars_to_mae"),
+        bps(side + F.col("s_in_") / 2).alias("entry_cost"), bps(side + F.col("s_out_") / 2).alias("exit_cost"))
+    cost = F.col("fee") + F.col("spread") + F.col("slippage")
+    return out.withColumn("cost", cost).withColumn("net", F.col("gross") - cost - F.col("funding"))
 
 
-def timeline(bars: DataFrame, taken: DataFrame, holding: int = 4, latency: int = 0, size: int = SIZE) -> DataFrame:
-    """One return per bar, open to open: RUN, pos, ret. A bar within a trade earns the trade's direction times
-    its return and, at the trade's first and last bar, pays half the trade's cost; idle bars earn 0."""
+def timeline(bars: DataFrame, taken: DataFrame, latency: int = 0, funding: str | None = None, size: int = SIZE, keys: Sequence[str] = RUN) -> DataFrame:
+    """One return per bar, open to open: keys, pos, slot_no, ret. A bar within a trade earns the trade's direction times
+    its return less, off spot, its funding; the trade's first bar pays its entry cost and the last one its exit cost; idle
+    bars earn 0."""
     b = ahead_chunks(bars, 1, size)
-    w = Window.partitionBy(*RUN, "chunk").orderBy("pos")
-    r = b.withColumn("r_", sdiv(F.lead("open").over(w), F.col("open")) - 1).where("own").select(*RUN, "pos", "slot_no", "r_")
+    w = Window.partitionBy(*keys, "chunk").orderBy("pos")
+    rate = F.coalesce(F.col(funding).cast("double"), F.lit(0.0)) if funding else F.lit(0.0)
+    r = b.withColumn("r_", sdiv(F.lead("open").over(w), F.col("open")) - 1).withColumn("f_", rate).where("own").select(*keys, "pos", "slot_no", "r_", "f_")
     first = F.col("pos") + 1 + latency
-    held = taken.select(*RUN, "direction", "cost", first.alias("a_"), F.explode(F.sequence(first, first + holding - 1)).alias("pos"))
-    pay = F.when(F.col("pos") == F.col("a_"), F.col("cost") / 2).otherwise(0.0) + F.when(F.col("pos") == F.col("a_") + holding - 1, F.col("cost") / 2).otherwise(0.0)
-    held = held.select(*RUN, "pos", "direction", pay.alias("pay_"))
-    return r.join(held, [*RUN, "pos"], "left").select(
-        *RUN, "pos", "slot_no", F.coalesce(F.col("direction") * F.coalesce("r_", F.lit(0.0)) - F.col("pay_"), F.lit(0.0)).alias("ret"))
+    held = taken.select(*keys, "direction", "entry_cost", "exit_cost", "holding_bars", F.col("pays_funding").alias("pays_"), first.alias("a_"),
+                        F.explode(F.sequence(first, first + F.col("holding_bars") - 1)).alias("pos"))
+    pay = F.when(F.col("pos") == F.col("a_"), F.col("entry_cost")).otherwise(0.0) + F.when(F.col("pos") == F.col("a_") + F.col("holding_bars") - 1, F.col("exit_cost")).otherwise(0.0)
+    held = held.select(*keys, "pos", "direction", "pays_", pay.alias("pay_"))
+    earned = F.col("direction") * (F.coalesce("r_", F.lit(0.0)) - F.when(F.col("pays_"), F.col("f_")).otherwise(0.0)) - F.col("pay_")
+    return r.join(held, [*keys, "pos"], "left").select(*keys, "pos", "slot_no", F.coalesce(earned, F.lit(0.0)).alias("ret"))
 
 
 def drawdown(returns: DataFrame, keys: Sequence[str], order: str, size: int = SIZE) -> DataFrame:
@@ -172,28 +219,59 @@ def drawdown(returns: DataFrame, keys: Sequence[str], order: str, size: int = SI
     return g.select(*keys, (F.col("v_") - 1).alias("compounded"), "max_drawdown")
 
 
-def risk(returns: DataFrame, keys: Sequence[str], periods_per_year: float) -> DataFrame:
-    """Mean, deviation (population), downside deviation, and annual Sharpe and Sortino; NULL at a denominator of 0."""
-    g = returns.groupBy(*keys).agg(F.count("ret").alias("bars"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("deviation"),
-                                   F.sqrt(F.avg(F.pow(F.least(F.col("ret"), F.lit(0.0)), F.lit(2.0)))).alias("downside"))
+def risk(returns: DataFrame, keys: Sequence[str], periods_per_year: float, order: str = "slot_no") -> DataFrame:
+    """Mean, deviation (population), downside deviation, annual Sharpe and Sortino, maximum_drawdown and Calmar (annual mean
+    by the drawdown); NULL at a denominator of 0. NULL returns count as 0."""
+    r = returns.withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    g = r.groupBy(*keys).agg(F.count("ret").alias("bars"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("deviation"),
+                             F.sqrt(F.avg(F.pow(F.least(F.col("ret"), F.lit(0.0)), F.lit(2.0)))).alias("downside"))
     k = periods_per_year ** 0.5
-    return g.withColumn("sharpe", sdiv(F.col("mean"), F.col("deviation")) * k).withColumn("sortino", sdiv(F.col("mean"), F.col("downside")) * k)
+    g = g.withColumn("sharpe", sdiv(F.col("mean"), F.col("deviation")) * k).withColumn("sortino", sdiv(F.col("mean"), F.col("downside")) * k)
+    d = drawdown(r, keys, order).select(*keys, F.col("max_drawdown").alias("maximum_drawdown"))
+    return g.join(d, list(keys)).withColumn("calmar", sdiv(F.col("mean") * periods_per_year, F.abs("maximum_drawdown")))
+
 
+def summary(taken: DataFrame, keys: Sequence[str], bars: DataFrame | None = None) -> DataFrame:
+    """Per key: trades, exposure and turnover, compounded gross and net, mean and median net, win rate, mean win and loss,
+    payoff ratio, profit factor, mean of the worst twentieth, mean mfe and mae, median holding, longs and shorts.
 
-def summary(taken: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key: trades, mean and median net, win rate, mean win and loss, profit factor, mean of the worst twentieth,
-    longs and shorts."""
+    ``bars`` (keys, bars) are the keys to report and their numbers of bars: one without a trade comes out with 0 trades
+    and INSUFFICIENT EVIDENCE, the others with ANALYZED. Without it exposure is NULL and only keys with trades are there.
+    """
+    wins, losses = F.when(F.col("net") > 0, F.col("net")), F.when(F.col("net") < 0, F.col("net"))
     g = taken.groupBy(*keys).agg(
-        F.count("*").alias("trade_count"), F.avg("net").alias("mean_net"), F.percentile("net", F.lit(0.5)).alias("median_net"),
-        F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.avg(F.when(F.col("net") > 0, F.col("net"))).alias("mean_win"),
-        F.avg(F.when(F.col("net") < 0, F.col("net"))).alias("mean_loss"),
-        sdiv(F.sum(F.when(F.col("net") > 0, F.col("net"))), -F.sum(F.when(F.col("net") < 0, F.col("net")))).alias("profit_factor"),
-        F.percentile("net", F.lit(0.05)).alias("worst_"), F.count_if(F.col("direction") > 0).alias("longs"), F.count_if(F.col("direction") < 0).alias("shorts"))
-    tail = taken.join(g.select(*keys, "worst_"), list(keys)).where(F.col("net") <= F.col("worst_")).groupBy(*keys).agg(F.avg("net").alias("cvar5"))
-    return g.join(tail, list(keys), "left").drop("worst_")
+        F.count("*").alias("trade_count"), (2.0 * F.count("*")).alias("turnover"), (F.product(1 + F.col("gross")) - 1).alias("gross_return"), (F.product(1 + F.col("net")) - 1).alias("net_return"),
+        F.avg("net").alias("mean_net"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.avg(wins).alias("mean_win"), F.avg(losses).alias("mean_loss"),
+        sdiv(F.avg(wins), F.abs(F.avg(losses))).alias("payoff_ratio"), sdiv(F.sum(wins), F.abs(F.sum(losses))).alias("profit_factor"),
+        F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"), F.percentile("holding_bars", F.lit(0.5)).alias("median_holding_bars"),
+        F.sum("holding_bars").alias("held_"), F.count_if(F.col("direction") > 0).alias("longs"), F.count_if(F.col("direction") < 0).alias("shorts"))
+    q = quantiles(taken, keys, "net", [0.5, 0.05], "q_").select(*keys, F.col("q_")[0].alias("median_net"), F.col("q_")[1].alias("worst_"))
+    tail = taken.join(q, list(keys)).where(F.col("net") <= F.col("worst_")).groupBy(*keys).agg(F.avg("net").alias("cvar5"))
+    g = g.join(q.drop("worst_"), list(keys), "left").join(tail, list(keys), "left")
+    if bars is None:
+        return g.withColumn("exposure", F.lit(None).cast("double")).withColumn("evidence_status", F.lit("ANALYZED")).drop("held_")
+    g = bars.select(*keys, F.col("bars").alias("of_")).join(g, list(keys), "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("trade_count", "turnover", "longs", "shorts")}
+    status = F.when(F.col("trade_count") > 0, "ANALYZED").otherwise("INSUFFICIENT EVIDENCE")
+    exposure = F.least(F.lit(1.0), F.coalesce("held_", F.lit(0)) / F.greatest(F.col("of_"), F.lit(1)))
+    return g.withColumns(zero).withColumn("exposure", exposure).withColumn("evidence_status", status).drop("held_", "of_")
 
 
 def cost_grid(taken: DataFrame, slippages: Sequence[float] = (0, 1, 2, 5)) -> DataFrame:
-    """The same trades under several slippages (basis points a side): net and slippage_bps per trade and slippage."""
+    """The same trades under several slippages (basis points a side): net_at and slippage_bps per trade and slippage; all
+    other costs are the trade's own."""
     at = F.explode(F.array(*[F.lit(float(s)) for s in slippages])).alias("slippage_bps")
-    return taken.select("*", at).withColumn("net_at", F.col("gross") - (F.lit(12.0) + 2 * F.col("slippage_bps")) / 10_000)
+    others = F.col("fee") + F.col("spread") + F.col("funding")
+    return taken.select("*", at).withColumn("net_at", F.col("gross") - others - 2 * F.col("slippage_bps") / 10_000)
+
+
+def baselines(bars: DataFrame, keys: Sequence[str], costs: Costs = Costs(), fee_mode: str = "taker", long_only: Column | None = None, funding: str | None = None, order: str = "slot_no") -> DataFrame:
+    """Per key the baselines that trade nothing or once: keys, feature_id, trade_count, gross, net. Buying and holding goes
+    from the first open to the last close, less one round trip and, outside ``long_only``, the funding of all its bars."""
+    spot = F.lit(False) if long_only is None else long_only
+    paid = F.sum(F.when(spot, 0.0).otherwise(F.coalesce(F.col(funding), F.lit(0.0)))) if funding else F.lit(0.0)
+    g = bars.groupBy(*keys).agg(F.min_by("open", order).alias("a_"), F.max_by("close", order).alias("b_"), paid.alias("paid_"))
+    gross = sdiv(F.col("b_"), F.col("a_")) - 1
+    row = lambda name, n, x, y: F.struct(F.lit(name).alias("feature_id"), F.lit(n).alias("trade_count"), x.alias("gross"), y.alias("net"))
+    return g.select(*keys, F.inline(F.array(
+        row("baseline_no_position", 0, F.lit(0.0), F.lit(0.0)), row("baseline_buy_and_hold", 1, gross, gross - F.lit(costs.round_trip(fee_mode)) - F.col("paid_")))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,30 @@ def in_folds(df: DataFrame, pos: Column, n: Column, min_train: int, validation:
     return df.select("*", F.inline(F.concat(*tags)))
 
 
+def growing_folds(df: DataFrame, pos: Column, n: Column, least_train: int = 50, least_part: int = 10) -> DataFrame:
+    """Rows of the validation and test parts of walk-forward folds whose lengths follow from n: the first train part has half
+    of n rows, validation and test a tenth each, and folds advance by a test part. Adds fold and part, and ``pos`` counts
+    from the head of the part. A row is in at most one fold's validation and one fold's test part."""
+    first, length = F.greatest(F.lit(least_train), F.floor(n / 2)), F.greatest(F.lit(least_part), F.floor(n / 10))
+    last = F.floor((n - first - 2 * length) / length)
+    tags = []
+    for part, skip in (("validation", 0), ("test", 1)):
+        k = F.floor((pos - first - skip * length) / length)
+        ok = (pos < n) & (k >= 0) & (k <= last)
+        tags.append(F.when(ok, F.struct(k.cast("int").alias("fold"), F.lit(part).alias("part"), (pos - first - skip * length - k * length).cast("long").alias("at_"))))
+    return df.select("*", F.inline(F.array_compact(F.array(*tags)))).withColumn("pos", F.col("at_")).drop("at_")
+
+
+def selected(summaries: DataFrame, keys: Sequence[str], name: str, score: str) -> DataFrame:
+    """Per key (a fold): the name with the highest validation ``score`` (equal ones: the first name), and its trades and
+    score in the test part, NULL and 0 where it does not trade there. ``summaries`` has part, trade_count and score."""
+    v = summaries.where((F.col("part") == "validation") & (F.col("trade_count") > 0) & F.col(score).isNotNull())
+    top = v.groupBy(*keys).agg(F.max(score).alias("validation_score"))
+    best = v.join(top, list(keys)).where(F.col(score) == F.col("validation_score")).groupBy(*keys, "validation_score").agg(F.min(name).alias(name))
+    t = summaries.where(F.col("part") == "test").select(*keys, name, F.col("trade_count").alias("test_trades"), F.col(score).alias("test_score"))
+    return best.join(t, [*keys, name], "left").withColumn("test_trades", F.coalesce("test_trades", F.lit(0)))
+
+
 def purge_bars(hours: float, minutes_per_bar: float) -> int:
     """Bars that an outcome ``hours`` on takes."""
     return math.ceil(hours * 60 / minutes_per_bar)

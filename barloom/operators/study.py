@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.exprs import correlation, sdiv
+from barloom.operators.ranks import quantiles, running, uniform, with_rank
+from barloom.plans.grouped import map_groups
+from barloom.plans.materialize import written
 
 
 def fit_quantiles(train: DataFrame, keys: Sequence[str], value: str, q: int) -> DataFrame:
@@ -18,9 +22,8 @@ def fit_quantiles(train: DataFrame, keys: Sequence[str], value: str, q: int) ->
     it is given only; apply_quantiles() never looks at other rows."""
     if q < 2:
         raise ValueError("at least two quantiles")
-    inner = F.array(*[F.lit(k / q) for k in range(1, q)])
-    g = train.groupBy(*keys).agg(F.percentile(value, inner).alias("edges"), F.count(value).alias("n_"))
-    return g.where(F.col("n_") >= 2 * q).select(*keys, F.array_distinct("edges").alias("edges"))
+    g = quantiles(train, keys, value, [k / q for k in range(1, q)], "edges", 2 * q)
+    return g.select(*keys, F.array_distinct("edges").alias("edges"))
 
 
 def apply_quantiles(df: DataFrame, model: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -29,46 +32,62 @@ def apply_quantiles(df: DataFrame, model: DataFrame, keys: Sequence[str], value:
     return df.join(model, list(keys)).withColumn("quantile", F.when(v.isNotNull(), F.size(F.filter("edges", lambda e: e <= v)) + 1)).drop("edges")
 
 
-def regimes(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], volatility: str, volume: str) -> DataFrame:
-    """Adds volatility_regime and volume_regime from frozen thresholds (columns vol_edges of three, qv_edges of two)."""
-    e, q, v, u = F.col("vol_edges"), F.col("qv_edges"), F.col(volatility), F.col(volume)
-    vol = F.when(v.isNull() | e.isNull(), "unavailable").when(v <= e[0], "low").when(v <= e[1], "normal").when(v <= e[2], "high").otherwise("extreme")
-    vq = F.when(u.isNull() | q.isNull(), "unavailable").when(u <= q[0], "thin").when(u <= q[1], "normal").otherwise("deep")
-    return df.join(thresholds, list(keys), "left").withColumn("volatility_regime", vol).withColumn("volume_regime", vq).drop("vol_edges", "qv_edges")
+# Names of the regimes, from the lowest of a column to the highest.
+VOLATILITY, LIQUIDITY = ("low", "normal", "high", "panic_extreme"), ("low", "medium", "high")
+REGIMES = ("btc_trend_regime", "volatility_regime", "liquidity_bucket", "breadth_regime", "open_interest_regime", "funding_regime")
 
 
-def fit_regimes(train: DataFrame, keys: Sequence[str], volatility: str, volume: str) -> DataFrame:
-    """Volatility quantiles .25, .75 and .95 and volume terciles of each key."""
-    edges = lambda c, ps: F.percentile(c, F.array(*[F.lit(p) for p in ps]))
-    return train.groupBy(*keys).agg(edges(volatility, (0.25, 0.75, 0.95)).alias("vol_edges"), edges(volume, (1 / 3, 2 / 3)).alias("qv_edges"))
+def regimes(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], volatility: str = "realized_vol20", volume: str = "quote_volume") -> DataFrame:
+    """Adds the six REGIMES of a bar, each ``unavailable`` where its input is missing: volatility and volume by frozen
+    thresholds (vol_edges, qv_edges of fit_regimes; a value at an edge belongs below it), the reference asset's trend,
+    breadth, the change of open interest and the funding z-score by fixed ones. Inputs that the frame lacks are missing."""
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("double")
+    e, q, v, u = F.col("vol_edges"), F.col("qv_edges"), F.col(volatility), F.col(volume)
+    btc, breadth, oi, funding = has("btc_regime"), has("market_breadth"), has("oi_pct_change"), has("funding_zscore90")
+    known = lambda c, x: F.when(c.isNull(), "unavailable").otherwise(x)
+    labels = (
+        F.when(btc == 1, "bull").when(btc == 0, "neutral").when(btc == -1, "bear").otherwise("unavailable"),
+        F.when(v <= e[0], VOLATILITY[0]).when(v <= e[1], VOLATILITY[1]).when(v <= e[2], VOLATILITY[2]).when(v > e[2], VOLATILITY[3]).otherwise("unavailable"),
+        F.when(u <= q[0], LIQUIDITY[0]).when(u <= q[1], LIQUIDITY[1]).when(u > q[1], LIQUIDITY[2]).otherwise("unavailable"),
+        known(breadth, F.when(breadth >= 0.6, "broad_bullish").when(breadth <= 0.4, "broad_bearish").otherwise("mixed")),
+        known(oi, F.when(oi > 0, "rising").when(oi < 0, "falling").otherwise("flat")),
+        known(funding, F.when(funding >= 1, "positive_extreme").when(funding <= -1, "negative_extreme").otherwise("normal")))
+    return df.join(thresholds, list(keys), "left").withColumns(dict(zip(REGIMES, labels))).drop("vol_edges", "qv_edges")
 
 
-def average_rank(value: str, group: Sequence[str]) -> Column:
-    """Rank from 1 within a group, ties sharing their mean rank."""
-    w = Window.partitionBy(*group)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2
+def fit_regimes(train: DataFrame, keys: Sequence[str], volatility: str = "realized_vol20", volume: str = "quote_volume", least: int = 20) -> DataFrame:
+    """Volatility quantiles .25, .75 and .95 and volume terciles of each key that has ``least`` values of both."""
+    v = quantiles(train, keys, volatility, (0.25, 0.75, 0.95), "vol_edges", least).drop("n_")
+    return v.join(quantiles(train, keys, volume, (1 / 3, 2 / 3), "qv_edges", least).drop("n_"), list(keys))
 
 
 def event_study(df: DataFrame, keys: Sequence[str], feature: str, ret: str, quantile: str = "quantile") -> DataFrame:
     """Per key and slice (overall, quantile_k, feature_positive, feature_negative) of the rows with a feature and a
-    return: count, mean, median, hit rate, and Pearson and rank correlation of feature and return."""
+    return: count, mean, median, hit rate, Pearson and rank correlation of feature and return, mean mfe and mae and the
+    median bars to them. Add the horizon to the keys to study several. Ranks and medians are cut by ranges of value."""
     f = F.col(feature)
     d = df.where(f.isNotNull() & F.col(ret).isNotNull())
     tags = F.array_compact(F.array(F.lit("overall"), F.concat(F.lit("quantile_"), F.col(quantile).cast("string")),
                                    F.when(f > 0, "feature_positive"), F.when(f < 0, "feature_negative")))
-    d = d.select(*keys, f.alias("x_"), F.col(ret).alias("y_"), F.explode(tags).alias("slice"))
+    d = d.select(*keys, f.alias("x_"), F.col(ret).alias("y_"), "mfe", "mae", "bars_to_mfe", "bars_to_mae", F.explode(tags).alias("slice"))
     g = [*keys, "slice"]
-    d = d.withColumn("rx_", average_rank("x_", g)).withColumn("ry_", average_rank("y_", g))
-    return d.groupBy(*g).agg(
-        F.count("*").alias("n"), F.avg("y_").alias("mean_ret"), F.percentile("y_", F.lit(0.5)).alias("median_ret"), F.avg((F.col("y_") > 0).cast("double")).alias("hit_rate"),
-        correlation(F.col("x_"), F.col("y_")).alias("ic"), correlation(F.col("rx_"), F.col("ry_")).alias("rank_ic"))
+    medians = quantiles(d, g, "y_", [0.5], "median_").select(*g, F.col("median_")[0].alias("median_ret"))
+    d = with_rank(with_rank(d, g, "x_", "rx_"), g, "y_", "ry_")
+    # Bars to an extreme are at most the horizon, so their exact medians need a count per bar only.
+    out = d.groupBy(*g).agg(
+        F.count("*").alias("n"), F.avg("y_").alias("mean_ret"), F.avg((F.col("y_") > 0).cast("double")).alias("hit_rate"),
+        correlation(F.col("x_"), F.col("y_")).alias("ic"), correlation(F.col("rx_"), F.col("ry_")).alias("rank_ic"), F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"),
+        F.percentile("bars_to_mfe", F.lit(0.5)).alias("median_bars_to_mfe"), F.percentile("bars_to_mae", F.lit(0.5)).alias("median_bars_to_mae"))
+    return out.join(medians, g)
 
 
 def monotonicity(study: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rank correlation of quantile number and mean return over the quantile slices of a key, three at least."""
     k = F.regexp_extract("slice", r"^quantile_(\d+)$", 1)
     q = study.where(k != "").select(*keys, k.cast("long").alias("k_"), "mean_ret")
-    q = q.withColumn("r_", average_rank("mean_ret", keys))
+    # A study has a handful of quantiles, so this window is short.
+    w = Window.partitionBy(*keys)
+    q = q.withColumn("r_", F.rank().over(w.orderBy("mean_ret")) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "mean_ret")) - 1) / 2)
     return q.groupBy(*keys).agg(correlation(F.col("k_").cast("double"), F.col("r_").cast("double")).alias("monotonicity"))
 
 
@@ -82,6 +101,51 @@ def correlation_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
     return g.select(*keys, F.inline(rows)).withColumn("corr", F.when(F.col("n") >= min_periods, F.col("corr")))
 
 
+def rank_correlation_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str], min_periods: int = 20) -> DataFrame:
+    """Spearman correlation of every two columns: keys, a, b, n, corr. Ranks are those among the pair's complete rows."""
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x_"), F.col(b).alias("y_")) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    d = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("x_").isNotNull() & F.col("y_").isNotNull())
+    g = [*keys, "a", "b"]
+    d = with_rank(with_rank(d, g, "x_", "rx_"), g, "y_", "ry_").groupBy(*g).agg(F.count("*").alias("n"), correlation(F.col("rx_"), F.col("ry_")).alias("corr"))
+    return d.withColumn("corr", F.when(F.col("n") >= min_periods, F.col("corr")))
+
+
+def cluster_pairs(pairs: DataFrame, keys: Sequence[str], cut: float = 0.35) -> DataFrame:
+    """Average-linkage clusters of each key's columns by 1 - abs(corr) of correlation_pairs(), a missing one counting as
+    0: keys, name, cluster. A key's matrix is that of its columns, a few dozen."""
+
+    def run(b, first, end):
+        out = []
+        for a, z in zip(first, end):
+            p = b.iloc[a:z]
+            names = sorted({*p["a"], *p["b"]})
+            at, m = {n: i for i, n in enumerate(names)}, np.ones((len(names), len(names)))
+            for x, y, c in zip(p["a"], p["b"], p["corr"].fillna(0.0)):
+                m[at[x], at[y]] = m[at[y], at[x]] = 1 - abs(c)
+            head = p[list(keys)].iloc[[0] * len(names)].reset_index(drop=True)
+            out.append(head.assign(name=names, cluster=clusters(names, m, cut)))
+        return pd.concat(out)
+
+    kinds = dict(pairs.dtypes)
+    return map_groups(pairs.select(*keys, "a", "b", "corr"), keys, ["a", "b"], run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", name string, cluster int")
+
+
+def deflated_sharpes(trials: DataFrame, keys: Sequence[str], name: str, sharpe: str, n: str) -> DataFrame:
+    """deflated_sharpe() of every trial of a key among all of them: keys, name, sharpe, probability."""
+
+    def run(b, first, end):
+        b = b.copy()
+        p = []
+        for a, z in zip(first, end):
+            all_ = [x for x in b[sharpe].iloc[a:z] if x == x and x is not None]
+            p += [deflated_sharpe(x, all_, int(k)) if x == x else None for x, k in zip(b[sharpe].iloc[a:z], b[n].iloc[a:z])]
+        return b.assign(probability=pd.Series(p, index=b.index, dtype="float64")).drop(columns=[n])
+
+    kinds = dict(trials.dtypes)
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, name, sharpe)) + ", probability double"
+    return map_groups(trials.select(*keys, name, sharpe, n), keys, [name], run, ddl)
+
+
 def overlap_pairs(df: DataFrame, keys: Sequence[str], signals: Sequence[str]) -> DataFrame:
     """Jaccard overlap of the rows at which two signals are not 0: keys, a, b, overlap; NULL where neither ever is."""
     on = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
@@ -123,27 +187,28 @@ def bootstrap_mean(values: np.ndarray, block: int, samples: int = 200, confidenc
     return float(lo), float(hi)
 
 
-def bootstrap_blocks(df: DataFrame, keys: Sequence[str], value: str, order: str, samples: int = 200, block: int = 64) -> DataFrame:
-    """Interval of each key's mean from block sums: blocks of ``block`` adjacent rows (by ``order``, an integer) are
-    summed where they lie, and only those sums, weighted at random (Poisson), are drawn from. keys, n, mean, lo, hi."""
-    b = df.where(F.col(value).isNotNull()).groupBy(*keys, F.floor(F.col(order) / F.lit(block)).alias("block_")).agg(F.sum(value).alias("s_"), F.count("*").alias("n_"))
-    draw = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_")
-    b = b.select(*keys, "block_", "s_", "n_", draw)
-    # Poisson(1) by inversion of a hash of block and sample: the same draws in every run.
-    u = F.pmod(F.xxhash64(*keys, "block_", "sample_"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    weight, acc, p = F.lit(6), 0.0, math.exp(-1)
-    steps = []
-    for k in range(6):
-        acc += p
-        steps.append((acc, k))
-        p /= k + 1
-    for c, k in reversed(steps):
-        weight = F.when(u < c, k).otherwise(weight)
-    m = b.groupBy(*keys, "sample_").agg(F.sum(F.col("s_") * weight).alias("s"), F.sum(F.col("n_") * weight).alias("n"))
-    m = m.withColumn("m_", sdiv(F.col("s"), F.col("n").cast("double")))
-    ci = m.groupBy(*keys).agg(F.percentile("m_", F.array(F.lit(0.025), F.lit(0.975))).alias("q_"))
-    total = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    return total.join(ci, list(keys)).select(*keys, "n", "mean", F.col("q_")[0].alias("lo"), F.col("q_")[1].alias("hi"))
+def bootstrap_blocks(df: DataFrame, keys: Sequence[str], value: str, order: str, samples: int = 200, confidence: float = 0.95, least: int = 20) -> DataFrame:
+    """Interval of each key's mean by a moving-block bootstrap: keys, n, mean, lo, hi; NULL bounds below ``least`` values.
+
+    Blocks of floor(sqrt(n)), two at least, adjacent values (by ``order``, unique within a key) begin anywhere; as many as
+    fill n are drawn with replacement, the last one cut short. A block's sum is the difference of two running sums, so
+    a draw is two lookups and no key's values are gathered. Draws come from a hash, the same in every run.
+    """
+    r = written(running(df.where(F.col(value).isNotNull()), keys, order, [value]), "prefixes")
+    total = r.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(value).alias("sum_"))
+    p = r.select(*keys, F.col("below").alias("at_"), F.col(f"below_{value}").alias("p_"))
+    p = p.unionByName(total.select(*keys, F.col("n").alias("at_"), F.col("sum_").alias("p_")))
+    b = F.greatest(F.lit(2), F.floor(F.sqrt("n"))).cast("long")
+    t = total.where((F.col("n") >= least) & (F.col("n") >= 2 * b)).withColumn("b_", b)
+    draws = t.select(*keys, "n", "b_", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_"))
+    draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("b_")) - 1)).alias("draw_"))
+    start = F.floor(uniform(*keys, "sample_", "draw_") * (F.col("n") - F.col("b_") + 1)).cast("long")
+    draws = draws.select(*keys, "n", "sample_", start.alias("from_"), (start + F.least(F.col("b_"), F.col("n") - F.col("draw_") * F.col("b_"))).alias("to_"))
+    a, z = (p.select(*keys, F.col("at_").alias(c), F.col("p_").alias(f"p{c}")) for c in ("from_", "to_"))
+    m = draws.join(a, [*keys, "from_"]).join(z, [*keys, "to_"]).groupBy(*keys, "n", "sample_").agg((F.sum(F.col("pto_") - F.col("pfrom_"))).alias("s_"))
+    q = F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))
+    ci = m.groupBy(*keys).agg(F.percentile(F.col("s_") / F.col("n"), q).alias("q_"))
+    return total.join(ci, list(keys), "left").select(*keys, "n", (F.col("sum_") / F.col("n")).alias("mean"), F.col("q_")[0].alias("lo"), F.col("q_")[1].alias("hi"))
 
 
 def deflated_sharpe(sharpe: float, trials: Sequence[float], n: int, skew: float = 0.0, kurtosis: float = 3.0) -> float | None:

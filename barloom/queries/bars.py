@@ -5,26 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators.indicators import CATALOG, OUTPUTS, indicators, signals, variants
-from barloom.operators.segments import clean_bars, segment_table, segmented
-from barloom.operators.slots import SERIES
+from barloom.functions.exprs import sdiv
+from barloom.operators import cohorts, joins
+from barloom.operators.ewm import span, with_ewm
+from barloom.operators.indicators import CATALOG, HALO, KEYS, OUTPUTS, indicators, signals, variants
+from barloom.operators.segments import chunked, clean_bars, segment_table, segmented
+from barloom.operators.slots import SERIES, step_us
 from barloom.queries.training import _READ
 from barloom.sources.tables import table
 
 KEY = (*SERIES, "slot_no")
-#: Context columns that klines does not have, as plain expressions of those it has (the same in SQL below).
+#: Quotes and open interest, which no table has, as plain expressions of columns that klines has (the same in SQL below).
 CONTEXT = {
     "bid_price": "close - 0.01", "ask_price": "close + 0.01", "bid_qty": "1 + volume", "ask_qty": "1 + trade_count", "open_interest": "1 + volume + trade_count",
-    "funding_rate": "close / nullif(open, 0) - 1", "premium": "high / nullif(low, 0) - 1", "btc_close": "open", "breadth_pct_above_ema": "taker_buy_volume / nullif(volume, 0)",
 }
+#: The columns that are joined in: funding as of the bar, the spot market's close of the symbol strictly before it (the
+#: reference asset of a futures bar) and the premium over it, and the breadth of the bar's slot.
+JOINED = ("funding_rate", "btc_close", "premium", "breadth_pct_above_ema")
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
     return segmented(clean_bars(table(spark, d, "klines"), ["quote_volume", "trade_count", "taker_buy_volume"]))
 
 
-def context_bars(spark: SparkSession, d: str) -> DataFrame:
-    return bars(spark, d).withColumns({k: F.expr(e) for k, e in CONTEXT.items()})
+def above_average(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each bar closed above its 50-bar average; NULL during its warm-up."""
+    b = with_ewm(chunked(bars(spark, d), HALO), {"ema50": ("close", span(50), 50)}, KEYS, "pos").where("own")
+    return b.select(*SERIES, "slot_no", (F.col("close") > F.col("ema50")).alias("above"))
+
+
+def slot_breadth(spark: SparkSession, d: str) -> DataFrame:
+    return cohorts.breadth(above_average(spark, d), ("market", "timeframe", "slot_no"), F.col("above"))
+
+
+def context_bars(spark: SparkSession, d: str, need=JOINED) -> DataFrame:
+    """Bars with CONTEXT and those of JOINED that are needed."""
+    b = bars(spark, d)
+    at = F.col("slot_no") * step_us(F.col("timeframe"))
+    b = b.withColumn("us_", at)
+    if "funding_rate" in need:
+        e = table(spark, d, "funding_events").where(F.col("funding_rate").isNotNull())
+        b = joins.asof(b, "us_", {"f": joins.Source(e, "timestamp", ("funding_rate",), None, ("funding_id",))}, ("market", "symbol"))
+        b = b.withColumnRenamed("f_funding_rate", "funding_rate").drop("f_source_us", "f_age_us", "f_coverage")
+    if {"btc_close", "premium"} & set(need):
+        spot = bars(spark, d).where(F.col("market") == "spot").select("symbol", "timeframe", "close", at.alias("spot_us"))
+        b = joins.asof(b, "us_", {"spot": joins.Source(spot, "spot_us", ("close",))}, ("symbol", "timeframe"), strict=True)
+        b = b.withColumnRenamed("spot_close", "btc_close").drop("spot_source_us", "spot_age_us", "spot_coverage")
+        b = b.withColumn("premium", F.when(F.col("market") != "spot", sdiv(F.col("close"), F.col("btc_close")) - 1))
+    if "breadth_pct_above_ema" in need:
+        g = slot_breadth(spark, d).select("market", "timeframe", "slot_no", F.col("breadth").alias("breadth_pct_above_ema"))
+        b = b.join(g, ["market", "timeframe", "slot_no"], "left")
+    return b.drop("us_").withColumns({k: F.expr(e) for k, e in CONTEXT.items()})
 
 
 def _rounded(df: DataFrame, names) -> list:
@@ -42,10 +73,11 @@ def seg_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feature(name: str):
-    outs = next(f.outputs for f in CATALOG if f.name == name)
+    feature = next(f for f in CATALOG if f.name == name)
+    outs = feature.outputs
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        i = indicators(context_bars(spark, d), [name])
+        i = indicators(context_bars(spark, d, feature.inputs), [name])
         return i.select(*KEY, *_rounded(i, outs))
 
     query.__name__ = f"ft_{name}"
@@ -91,9 +123,9 @@ def _z(x: str) -> str:
     return f"round(({x} - ({_roll('avg', x, 90)})) / nullif({_roll('stddev_pop', x, 90)}, 0), 6)"
 
 
-def _sql(columns: str, source: str = "bars", more: str = "") -> str:
+def _sql(columns: str, source: str = "bars", more: str = "", base: str = "") -> str:
     columns = columns.replace(", 6) AS", ", 6) + 0.0 AS")  # no negative zeros
-    return f"WITH RECURSIVE {BARS_SQL}{more}\nSELECT {_K}, {columns} FROM {source}"
+    return f"WITH RECURSIVE {base or BARS_SQL}{more}\nSELECT {_K}, {columns} FROM {source}"
 
 
 #: Steps and averages by recursion over the bars of a segment; x is what averages start from.
@@ -108,7 +140,7 @@ def _ema(names: dict[str, tuple[str, str, int, int]]) -> str:
     """Recursive averages: name -> (input, smoothing, first pos of the input, pos of the first value shown)."""
     seed = ", ".join(f"CASE WHEN {first} = 0 THEN {x}::DOUBLE END AS {n}" for n, (x, _, first, _) in names.items())
     step = ", ".join(
-        f"CASE WHEN s.pos < {first} THEN NULL WHEN s.pos = {first} THEN s.{x}::DOUBLE ELSE e.{n} * (1 - {a}) + {a} * s.{x} END" for n, (x, a, first, _) in names.items())
+        f"CASE WHEN s.pos < {first} THEN NULL WHEN s.pos = {first} THEN s.{x}::DOUBLE ELSE coalesce(e.{n} * (1 - {a}) + {a} * s.{x}, e.{n}, s.{x}) END" for n, (x, a, first, _) in names.items())
     shown = ", ".join(f"CASE WHEN e.pos >= {show} THEN e.{n} END AS {n}" for n, (_, _, _, show) in names.items())
     return _STEPS + f""",
 ema AS (SELECT market, symbol, timeframe, segment_id, pos, {seed} FROM steps1 WHERE pos = 0
@@ -121,7 +153,7 @@ av AS (SELECT b.*, {shown} FROM steps1 b JOIN ema e USING (market, symbol, timef
 _E = {
     "e10": ("close", "2/11.0::DOUBLE", 0, 9), "e20": ("close", "2/21.0::DOUBLE", 0, 19), "e30": ("close", "2/31.0::DOUBLE", 0, 29), "e50": ("close", "2/51.0::DOUBLE", 0, 49),
     "e200": ("close", "2/201.0::DOUBLE", 0, 199), "atr": ("tr", "1/14.0::DOUBLE", 0, 13),
-    "btc200": ("btc_close", "2/201.0::DOUBLE", 0, 199),
+    "btc200": ("btc_close", "2/201.0::DOUBLE", 0, 0),
 }
 for _n in (7, 14, 21):
     _E[f"u{_n}"] = ("gain", f"1/{_n}.0::DOUBLE", 1, _n)
@@ -142,6 +174,13 @@ def _don(n: int) -> str:
     return f"CASE WHEN count(close) OVER {f} = {n} THEN CASE WHEN close > max(high) OVER {f} THEN 1.0 WHEN close < min(low) OVER {f} THEN -1.0 ELSE 0.0 END END"
 
 
+_BARS0 = BARS_SQL.replace("bars AS (SELECT *, dense_rank()", "bars0 AS (SELECT *, dense_rank()")
+_FUNDED = f"""{_BARS0}, ev AS (SELECT market, symbol, epoch_us("timestamp") AS t, funding_rate FROM funding_events WHERE funding_rate IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY market, symbol, "timestamp" ORDER BY funding_id DESC) = 1),
+bars AS (SELECT b.*, ev.funding_rate FROM bars0 b ASOF LEFT JOIN ev ON ev.market = b.market AND ev.symbol = b.symbol AND b.slot_no * b.st >= ev.t)"""
+_SPOTTED = f"""{_BARS0}, sp AS (SELECT symbol, timeframe, slot_no AS sn, close AS sc FROM bars0 WHERE market = 'spot'),
+bars AS (SELECT b.*, sp.sc AS btc_close, CASE WHEN market <> 'spot' THEN b.close / nullif(sp.sc, 0) - 1 END AS premium FROM bars0 b ASOF LEFT JOIN sp ON sp.symbol = b.symbol AND sp.timeframe = b.timeframe AND b.slot_no > sp.sn)"""
+BREADTH = """wide AS (SELECT market, timeframe, slot_no, count(close > e50) AS valid, count(*) FILTER (close > e50) AS over FROM av GROUP BY ALL)"""
 _lagc = lambda n: f"lag(close, {n}) OVER {_S})"
 _RET = f""",
 r1 AS (SELECT *, ln(close) - ln(lag(close) OVER {_S})) AS ret FROM bars WHERE close > 0),
@@ -179,10 +218,11 @@ SELECT *, coalesce(segment_start - lag(segment_end) OVER (PARTITION BY market, s
     "ft_spread": _sql("round(10000 * (ask_price - bid_price) / nullif((ask_price + bid_price) / 2, 0), 6) AS spread_bps"),
     "ft_book": _sql("round((bid_qty - ask_qty) / nullif(bid_qty + ask_qty, 0), 6) AS top_book_imbalance, round((ask_price * bid_qty + bid_price * ask_qty) / nullif(bid_qty + ask_qty, 0), 6) AS microprice"),
     "ft_oi": _sql(f"round(open_interest / nullif(lag(open_interest) OVER {_S}), 0) - 1, 6) AS oi_pct_change"),
-    "ft_funding_z": _sql(f"{_z('funding_rate')} AS funding_zscore90"),
-    "ft_premium_z": _sql(f"{_z('premium')} AS premium_zscore90"),
-    "ft_btc": _sql("CASE WHEN (btc_close - btc200) / btc200 > 0.005 THEN 1.0 WHEN (btc_close - btc200) / btc200 < -0.005 THEN -1.0 WHEN btc200 IS NOT NULL THEN 0.0 END AS btc_regime", "av", _with("btc200")),
-    "ft_breadth": _sql("round(breadth_pct_above_ema, 6) AS market_breadth"),
+    "ft_funding_z": _sql(f"{_z('funding_rate')} AS funding_zscore90", base=_FUNDED),
+    "ft_premium_z": _sql(f"{_z('premium')} AS premium_zscore90", base=_SPOTTED),
+    "ft_btc": _sql("CASE WHEN (btc_close - b2) / b2 > 0.005 THEN 1.0 WHEN (btc_close - b2) / b2 < -0.005 THEN -1.0 WHEN (btc_close - b2) / b2 IS NOT NULL THEN 0.0 END AS btc_regime", "bt2",
+                   _with("btc200") + f", bt2 AS (SELECT *, CASE WHEN count(btc_close) OVER {_S}) >= 200 THEN btc200 END AS b2 FROM av)", _SPOTTED),
+    "ft_breadth": _sql("round(over / nullif(valid, 0), 6) AS market_breadth", "(SELECT * FROM av JOIN wide USING (market, timeframe, slot_no))", _with("e50") + ", " + BREADTH),
     "sig_variants": _sql(
         "sign(e10 - e30)::DOUBLE AS ema_10_30, sign(e20 - e50)::DOUBLE AS ema_20_50, sign(e50 - e200)::DOUBLE AS ema_50_200, "
         + ", ".join(f"CASE WHEN r{n} <= 30 THEN 1.0 WHEN r{n} >= 70 THEN -1.0 WHEN r{n} IS NOT NULL THEN 0.0 END AS rsi_{n}_30_70" for n in (7, 14, 21)) + ", "

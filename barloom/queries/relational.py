@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.exprs import number
 from barloom.operators import cohorts, joins, quality, resample
-from barloom.operators.ewm import span, with_ewm
-from barloom.operators.indicators import HALO, KEYS
-from barloom.operators.segments import chunked
 from barloom.operators.slots import SERIES, readings
-from barloom.queries.bars import BARS_SQL, _ema, _E, bars
+from barloom.queries.bars import BARS_SQL, _ema, _E, above_average, bars
 from barloom.queries.training import _READ
 from barloom.sources.tables import table
 
@@ -147,7 +144,7 @@ GROUP = ("campaign_id", "market", "universe_month")
 def _volumes(spark, d):
     v = table(spark, d, "monthly_volume").withColumn("universe_month", F.substring("universe_month", 1, 7))
     return v.groupBy(*GROUP, "symbol").agg(
-        F.max_by("prior_month_quote_volume", "recorded_at").alias("volume"), F.max_by("coverage_ratio", F.struct("recorded_at", "coverage_ratio")).alias("coverage"))
+        number(F.max_by("prior_month_quote_volume", "recorded_at")).alias("volume"), F.max_by("coverage_ratio", F.struct("recorded_at", "coverage_ratio")).alias("coverage"))
 
 
 def _universe(spark, d, least=0.0):
@@ -190,24 +187,19 @@ def jn_cohort(spark, d):
     return p.join(top, ["market", "universe_month", "symbol"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
-def _above(spark, d):
-    b = with_ewm(chunked(bars(spark, d), HALO), {"ema50": ("close", span(50), 50)}, KEYS, "pos").where("own")
-    return b.select(*SERIES, "slot_no", (F.col("close") > F.col("ema50")).alias("above"))
-
-
 def ag_breadth(spark, d):
     """Share of symbols above their 50-bar average per market, timeframe and slot."""
-    return cohorts.breadth(_above(spark, d), ("market", "timeframe", "slot_no"), F.col("above"))
+    return cohorts.breadth(above_average(spark, d), ("market", "timeframe", "slot_no"), F.col("above"))
 
 
 def ag_breadth_cohort(spark, d):
     """The same where four in five symbols must be past their warm-up."""
-    return cohorts.breadth(_above(spark, d), ("market", "timeframe", "slot_no"), F.col("above"), 0.8)
+    return cohorts.breadth(above_average(spark, d), ("market", "timeframe", "slot_no"), F.col("above"), 0.8)
 
 
 def jn_breadth_eq(spark, d):
     """The breadth of a bar's slot brought back to the bar."""
-    a = _above(spark, d)
+    a = above_average(spark, d)
     b = cohorts.breadth(a, ("market", "timeframe", "slot_no"), F.col("above"))
     return a.join(b.select("market", "timeframe", "slot_no", "breadth"), ["market", "timeframe", "slot_no"], "left").select(*SERIES, "slot_no", "above", "breadth")
 
@@ -231,9 +223,9 @@ def ag_manifest_sum(spark, d):
 
 
 def so_except(spark, d):
-    """Series that are audited but have no bars, and the other way round."""
-    a, k = (table(spark, d, t).select(*SERIES).distinct() for t in ("integrity_summary", "klines"))
-    return a.exceptAll(k).withColumn("side", F.lit("audit")).unionByName(k.exceptAll(a).withColumn("side", F.lit("bars")))
+    """Entities that have panel rows but no bars, and the other way round."""
+    a, k = (table(spark, d, t).select(*ENTITY).distinct() for t in ("panel", "klines"))
+    return a.exceptAll(k).withColumn("side", F.lit("panel")).unionByName(k.exceptAll(a).withColumn("side", F.lit("bars")))
 
 
 def so_intersect(spark, d):
@@ -296,7 +288,7 @@ SELECT panel_id, p.market, p.symbol, CASE WHEN NOT coalesce({stale}, FALSE) THEN
 FROM p ASOF LEFT JOIN f ON f.market = p.market AND f.symbol = p.symbol AND p.us {op} f.t"""
 
 
-_VOL = """v AS (SELECT campaign_id, market, substr(universe_month, 1, 7) AS universe_month, symbol, prior_month_quote_volume AS volume, coverage_ratio AS coverage FROM monthly_volume
+_VOL = """v AS (SELECT campaign_id, market, substr(universe_month, 1, 7) AS universe_month, symbol, CASE WHEN isfinite(prior_month_quote_volume) THEN prior_month_quote_volume END AS volume, coverage_ratio AS coverage FROM monthly_volume
   QUALIFY row_number() OVER (PARTITION BY campaign_id, market, substr(universe_month, 1, 7), symbol ORDER BY recorded_at DESC, coverage_ratio DESC NULLS LAST) = 1)"""
 
 
@@ -377,8 +369,8 @@ SELECT DISTINCT p.panel_id, p.market, p.symbol, p.universe_month, t.symbol IS NO
     "ag_census_sym": f"""WITH {_CENSUS} SELECT market, symbol, timeframe, min(archive_month) AS first_month, max(archive_month) AS last_month, count(DISTINCT archive_month) AS months, count(*) AS objects, sum(lines)::BIGINT AS lines,
   date_diff('month', min((archive_month || '-01')::DATE), max((archive_month || '-01')::DATE)) + 1 - count(DISTINCT archive_month) AS missing_months FROM c GROUP BY ALL""",
     "ag_manifest_sum": "SELECT market, symbol, timeframe, count(DISTINCT archive_object) AS objects, count(*) AS lines, sum(length(raw_line))::BIGINT AS characters FROM raw_klines GROUP BY ALL",
-    "so_except": """SELECT *, 'audit' AS side FROM (SELECT DISTINCT market, symbol, timeframe FROM integrity_summary EXCEPT SELECT DISTINCT market, symbol, timeframe FROM klines)
-UNION ALL SELECT *, 'bars' FROM (SELECT DISTINCT market, symbol, timeframe FROM klines EXCEPT SELECT DISTINCT market, symbol, timeframe FROM integrity_summary)""",
+    "so_except": """SELECT *, 'panel' AS side FROM (SELECT market, symbol FROM panel EXCEPT SELECT market, symbol FROM klines)
+UNION ALL SELECT *, 'bars' FROM (SELECT market, symbol FROM klines EXCEPT SELECT market, symbol FROM panel)""",
     "so_intersect": "SELECT market, symbol FROM panel INTERSECT SELECT market, symbol FROM funding_events",
     "so_union": "SELECT market, symbol, count(*) AS n FROM (SELECT market, symbol FROM panel UNION ALL SELECT market, symbol FROM funding_events) GROUP BY ALL",
     "so_distinct": "SELECT market, symbol, count(*) AS n FROM (SELECT DISTINCT * FROM panel) GROUP BY ALL",

@@ -25,6 +25,8 @@ from barloom.sources.sinks import append_record, append_revisions, write_panel,
 from barloom.sources.tables import require_columns
 from barloom.streaming.capture import append_log, bars_from_trades, routed
 
+COSTS = backtest.Costs(taker_fee_bps=10, slippage_bps=0, spread_bps=0)
+
 
 def walk(n, seed=0):
     rng = np.random.default_rng(seed)
@@ -129,12 +131,12 @@ def test_greedy_choice_in_chunks(spark, size):
 def test_trades_timeline_and_drawdown(klines):
     opens = [100, 110, 121, 100, 90, 81, 80]
     b = bars(klines, [("A", i, float(o), 1, {"high": o * 1.1, "low": o * 0.9}) for i, o in enumerate(opens)]).withColumn("s", F.when(F.col("pos") == 0, 1).when(F.col("pos").isin(1, 3), -1))
-    t = backtest.trades(b, "s", 2, fee_bps=10, slippage_bps=0, spread_bps=0).orderBy("pos").toPandas()
+    t = backtest.trades(b, "s", 2, costs=COSTS).orderBy("pos").toPandas()
     assert t["pos"].tolist() == [0, 3] and t["gross"].tolist() == pytest.approx([100 / 110 - 1, -(80 / 90 - 1)])
-    line = backtest.timeline(b, backtest.trades(b, "s", 2, fee_bps=10, slippage_bps=0, spread_bps=0), 2).orderBy("pos").toPandas()
+    line = backtest.timeline(b, backtest.trades(b, "s", 2, costs=COSTS)).orderBy("pos").toPandas()
     assert line["ret"].tolist() == pytest.approx([0, 0.1 - 0.001, 100 / 121 - 1 - 0.001, 0, 0.1 - 0.001, 1 - 80 / 81 - 0.001, 0])
     for size in (3, 100):
-        d = backtest.drawdown(backtest.timeline(b, backtest.trades(b, "s", 2, fee_bps=10, slippage_bps=0, spread_bps=0), 2), ["symbol"], "pos", size).first()
+        d = backtest.drawdown(backtest.timeline(b, backtest.trades(b, "s", 2, costs=COSTS)), ["symbol"], "pos", size).first()
         v = np.cumprod(1 + line["ret"].to_numpy())
         assert d.compounded == pytest.approx(v[-1] - 1) and d.max_drawdown == pytest.approx((v / np.maximum.accumulate(v) - 1).min())
 
