@@ -37,6 +37,29 @@ def ranked_universe(volumes: DataFrame, group: Sequence[str], item: str, volume:
     return r.select("*", *[F.coalesce(F.col("rank_no") <= n, F.lit(False)).alias(f"selected_top{n}") for n in cuts])
 
 
+def selected_universe(volumes: DataFrame, group: Sequence[str], verified: bool = False) -> DataFrame:
+    """Symbols of a month ranked by the volume of the month before: group, symbol, volume, rank_no, reason and selected flags.
+    ``volumes`` has volume, coverage, volume_month, first_observed and, in ``group``, universe_month.
+
+    Eligible is who has a volume of 0 or more and was observed before the month began; ``verified``: before the volume's
+    month began, and with that month covered in full (a NULL coverage is none, yet gives no reason). Otherwise reason is
+    NEGATIVE_VOLUME, NO_VOLUME, PARTIAL_PRIOR_MONTH or NOT_OBSERVED, the first that holds. ``verified`` volumes of
+    another month than the one before are an error."""
+    month = F.to_timestamp(F.concat(F.col("universe_month"), F.lit("-01")), "yyyy-MM-dd")
+    prior = F.add_months(month, -1)
+    unseen = F.coalesce(F.col("first_observed").cast("timestamp") >= (prior.cast("timestamp") if verified else month), F.lit(True))
+    short = F.lit(verified) & F.coalesce(F.isnan("coverage") | (F.col("coverage") < 1), F.lit(False))
+    covered = F.lit(True) if not verified else number(F.col("coverage")) >= 1
+    reason = (
+        F.when(F.col("volume") < 0, "NEGATIVE_VOLUME").when(F.col("volume").isNull(), "NO_VOLUME").when(short, "PARTIAL_PRIOR_MONTH").when(unseen, "NOT_OBSERVED").otherwise("ELIGIBLE"))
+    v = volumes.withColumn("reason", reason).withColumn("ok_", (F.col("volume") >= 0) & ~unseen & covered)
+    if verified:
+        fits = F.col("volume_month") == F.date_format(prior, "yyyy-MM")
+        v = v.where(F.when(~fits, F.raise_error(F.lit("a volume of another month than the one before"))).otherwise(F.lit(True)))
+    v = v.select(*group, "symbol", "volume", "reason", "ok_")
+    return ranked_universe(v, group, "symbol", "volume", F.col("ok_")).drop("ok_")
+
+
 def cohort_counts(ranked: DataFrame, group: Sequence[str], cuts: Sequence[int] = CUTS) -> DataFrame:
     """Candidates, ranked rows and rows within each cut per group."""
     return ranked.groupBy(*group).agg(

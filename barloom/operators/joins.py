@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.exprs import zscore
+from barloom.operators.ranks import running
 from barloom.sources.tables import require_columns
 
 
@@ -111,3 +113,32 @@ def crossed_events(
     z = lambda c, d: F.coalesce(F.col(c), F.lit(d))
     n, r = z("sum_n", 0) - z("in_n_", 0), z("sum_r", 0.0) - z("in_r_", 0.0)
     return b.select(*positions.columns, n.alias("crossed"), r.alias("rate_sum"), (-F.col(side) * r).alias("cashflow"))
+
+
+def event_zscore(events: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 90, size: int = 16_384) -> DataFrame:
+    """``events`` with zscore: the value's distance from the mean of the last ``n`` events of its key (not bars), in their
+    deviations; NULL for the first n - 1. Keys are cut into chunks of positions that borrow n - 1 events, so a key
+    with a third of all rows is many tasks' work. Events need a value and differ in ``order``."""
+    e = events.where(F.col(value).isNotNull()).withColumn("order_", F.struct(*order))
+    at = running(e, keys, "order_").select(*keys, "order_", F.col("below").alias("pos_"))
+    e = e.join(at, [*keys, "order_"])
+    home = F.floor(F.col("pos_") / F.lit(size)).cast("long")
+    e = e.withColumn("chunk_", F.explode(F.sequence(home, F.floor((F.col("pos_") + n - 1) / F.lit(size)).cast("long")))).withColumn("own_", F.col("chunk_") == home)
+    w = Window.partitionBy(*keys, "chunk_").orderBy("pos_")
+    return e.withColumn("zscore", zscore(F.col(value), w, n)).where("own_").drop("order_", "pos_", "chunk_", "own_")
+
+
+def month_context(members: DataFrame, objects: DataFrame, keys: Sequence[str], month: str, object_month: str, before: int = 2) -> DataFrame:
+    """``objects`` of the months from ``before`` months ahead of a membership up to it, once each, with row_class:
+    RESEARCH_ELIGIBLE in a membership's own month, else WARMUP_CONTEXT_ONLY. Months are YYYY-MM; the range join is an
+    equality join over the few months of each membership."""
+    first = F.to_date(F.concat(F.col(month), F.lit("-01")))
+    m = members.select(*keys, F.explode(F.array(*[F.struct(F.date_format(F.add_months(first, -k), "yyyy-MM").alias("m"), F.lit(k == 0).alias("own")) for k in range(before + 1)])).alias("x_"))
+    m = m.groupBy(*keys, F.col("x_.m").alias(object_month)).agg(F.max("x_.own").alias("own_"))
+    j = objects.join(m, [*keys, object_month])
+    return j.withColumn("row_class", F.when(F.col("own_"), "RESEARCH_ELIGIBLE").otherwise("WARMUP_CONTEXT_ONLY")).drop("own_")
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: str, name: str = "at") -> DataFrame:
+    """Adds the position from 0 of a row among those of its key; ``order`` is unique within a key."""
+    return df.join(running(df, keys, order).select(*keys, order, F.col("below").alias(name)), [*keys, order])

@@ -102,3 +102,45 @@ def table_hash(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
     decimal, and the number of rows. Combined before it is shuffled; repeated rows count."""
     h = df.select(*keys, F.conv(F.substring(row_hash(columns), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
     return h.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum("h").cast("string").alias("table_hash"))
+
+
+def archive_summary(bars: DataFrame, key: str = "archive_object") -> DataFrame:
+    """Per archive of daily bars: rows, distinct days, sum of quote_volume, issue_codes (DUPLICATE_TIMESTAMP, IMPOSSIBLE_OHLC,
+    MISSING_INTERVAL, joined by ;) and PASS or ISSUES. ``bars`` has ``key``, timeframe, open_time and the prices."""
+    bad = F.coalesce((F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high")) | (F.col("quote_volume") < 0), F.lit(False))
+    g = bars.groupBy(key).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum("quote_volume"), F.lit(0.0)).alias("quote_volume"), F.max(bad).alias("bad_"))
+    t = time_steps(bars, (key,)).groupBy(key).agg(
+        F.countDistinct(F.floor(F.col("us") / F.lit(86_400_000_000))).alias("days"), F.max(F.col("copies") > 1).alias("dup_"), F.coalesce(F.max(F.col("us") - F.col("prev_us") > F.col("step")), F.lit(False)).alias("gap_"))
+    codes = F.concat_ws(";", F.when(F.col("dup_"), "DUPLICATE_TIMESTAMP"), F.when(F.col("bad_"), "IMPOSSIBLE_OHLC"), F.when(F.col("gap_"), "MISSING_INTERVAL"))
+    out = g.join(t, key).withColumn("issue_codes", codes)
+    return out.select(key, "rows", "days", "quote_volume", "issue_codes", F.when(F.col("issue_codes") == "", "PASS").otherwise("ISSUES").alias("integrity_status"))
+
+
+def step_anomalies(bars: DataFrame, month: str, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Rows whose distance to the row before them, archives taken month by month, is no positive multiple of the step: keys,
+    month, us, prev_us, delta_us, anomaly_type (TIME_REVERSAL, DUPLICATE_TIMESTAMP, OFF_GRID_TIMESTAMP). Within a
+    month rows are in order of time; the last time of a month travels to the next one as one row per month."""
+    step = step_us(F.col("timeframe"))
+    b = bars.where(F.col("open_time").isNotNull() & step.isNotNull()).select(*keys, month, micros(F.col("open_time")).alias("us"), step.alias("step_"))
+    w = Window.partitionBy(*keys, month).orderBy("us")
+    ends = b.groupBy(*keys, month).agg(F.max("us").alias("hi_"))
+    ends = ends.withColumn("before_", F.lag("hi_").over(Window.partitionBy(*keys).orderBy(month))).drop("hi_")
+    b = b.withColumn("in_", F.lag("us").over(w)).join(ends, [*keys, month]).withColumn("prev_us", F.coalesce("in_", "before_"))
+    d = F.col("us") - F.col("prev_us")
+    kind = F.when(d < 0, "TIME_REVERSAL").when(d == 0, "DUPLICATE_TIMESTAMP").when(F.pmod(d, F.col("step_")) != 0, "OFF_GRID_TIMESTAMP")
+    return b.select(*keys, month, "us", "prev_us", d.alias("delta_us"), kind.alias("anomaly_type")).where(F.col("anomaly_type").isNotNull())
+
+
+def quarantined(bars: DataFrame, allowed: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Deliveries with verdict: KEPT on the grid of their series, QUARANTINED off it in a series of ``allowed`` (audited for
+    it), NOT_ALLOWED off it elsewhere, which a strict caller treats as an error."""
+    off = F.pmod(micros(F.col("open_time")), step_us(F.col("timeframe"))) != 0
+    b = bars.join(allowed.select(*keys).distinct().withColumn("allowed_", F.lit(True)), list(keys), "left")
+    return b.withColumn("verdict", F.when(~off, "KEPT").when(F.col("allowed_"), "QUARANTINED").otherwise("NOT_ALLOWED")).drop("allowed_")
+
+
+def completed_cutoff(now: Column, timeframe: Column) -> Column:
+    """Epoch microseconds at which the last bar that is complete at ``now`` begins."""
+    step = step_us(timeframe)
+    return ((F.floor(micros(now) / step) - 1) * step).cast("long")

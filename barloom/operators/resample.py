@@ -55,3 +55,15 @@ def source_policy(comparison: DataFrame, group: Sequence[str]) -> DataFrame:
     """NATIVE where every field of a group matches, else RESAMPLED."""
     g = comparison.groupBy(*group).agg(F.max((F.col("status") != "MATCH").cast("int")).alias("bad_"))
     return g.select(*group, F.when(F.col("bad_") == 0, "NATIVE").otherwise("RESAMPLED").alias("policy"))
+
+
+def resample_contiguous(bars: DataFrame, target_us: int, keys: Sequence[str] = SERIES, sums: Sequence[str] = SUMS) -> DataFrame:
+    """Complete buckets of segmented bars, runs between gaps apart: as resample(), and where the source already has the
+    target's step its bars themselves, except those of runs of one bar, whose step nothing shows. A finer bucket that is
+    complete cannot span a gap, so the run needs to be no key of it."""
+    same = step_us(F.col("timeframe")) == target_us
+    lone = Window.partitionBy(*keys, "segment_id", F.floor(F.col("pos") / 2))
+    # A run has a second bar exactly if the pair of its first two positions is whole.
+    own = bars.where(same).withColumn("pair_", F.count("*").over(lone)).where((F.col("pair_") > 1) | (F.col("pos") > 1))
+    own = own.select(*keys, F.col("slot_no").alias("bucket"), "open", "high", "low", "close", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums], F.lit(1).cast("long").alias("bars"))
+    return resample(bars.where(~same), target_us, keys, sums).unionByName(own)

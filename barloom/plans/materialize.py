@@ -16,21 +16,39 @@ BROADCAST_ROWS = 200_000
 BROADCAST_ROW_BYTES = 256
 
 
+#: Tables written so far, deleted when the driver ends.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset, as in tests, one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset and the master is local, as in tests, one
+    of our own; on a cluster a folder of one machine would lose what the others write, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, urlparse(folder).path, True)
     return folder.rstrip("/")
 
 
+@atexit.register
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended before us
+            if urlparse(path).scheme in ("", "file"):
+                shutil.rmtree(urlparse(path).path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder. Local folders are emptied when the driver ends."""
+    """A fresh path in the shared folder. What is written there is deleted when the driver ends, wherever it lies."""
     path = f"{shared_folder(spark)}/barloom-{name}-{uuid.uuid4().hex}"
-    if urlparse(path).scheme in ("", "file"):
-        atexit.register(shutil.rmtree, urlparse(path).path, True)
+    _WRITTEN.append((spark, path))
     return path
 
 
@@ -42,13 +60,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def measured_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int = BROADCAST_ROW_BYTES) -> DataFrame:
-    """``small`` with a broadcast hint if it is counted and found within the bound.
+    """``small`` with a broadcast hint if its rows and its bytes are measured and found within the bound.
 
     Beyond the bound the frame comes back without a hint and the join is a shuffle join, which
-    adaptive execution splits where keys are hot. Pass a written() table: counting it is then free.
+    adaptive execution splits where keys are hot. Pass a written() table, or what is soon computed from one.
     """
-    width = sum(16 if t in ("string", "binary") else 8 for _, t in small.dtypes)
-    if width > row_bytes:
-        return small
-    n = small.limit(rows + 1).count()
-    return F.broadcast(small) if n <= rows else small
+    texts = [c for c, t in small.dtypes if t in ("string", "binary")]
+    size = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts), F.lit(0))
+    n, long = small.limit(rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(small) if n <= rows and long + 8 * n * len(small.columns) <= rows * row_bytes else small

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from barloom.operators import normalize
 from barloom.operators.parsing import parse_bars
-from barloom.operators.slots import SERIES, micros, step_us
-from barloom.queries.training import _JUDGED, _READ
+from barloom.queries.training import _JUDGED
 from barloom.sources.tables import table
-from barloom.streaming.capture import bars_from_trades
+from barloom.streaming.capture import bars_from_trades, routed
 
 
 def _epochs(spark, d):
@@ -35,18 +34,21 @@ def nrm_klines(spark, d):
     return p.groupBy("archive_object").agg(*[F.count_if(F.col("parsed.status") == s).alias(s.lower()) for s in ("BAR", "HEADER", "FAIL")])
 
 
-def flt_offgrid(spark, d):
-    """Deliveries on the grid of their series, per series."""
-    k = table(spark, d, "klines")
-    on = F.pmod(micros(F.col("open_time")), step_us(F.col("timeframe"))) == 0
-    return k.groupBy(*SERIES).agg(F.count_if(on).alias("on_grid"), F.count("*").alias("deliveries"))
+def nrm_archive(spark, d):
+    """Archive lines cut by position, those without a numeric time left out, per market."""
+    r = table(spark, d, "raw_klines").select("market", F.split("raw_line", ",").alias("fields"))
+    n = normalize.positional(r, "klines")
+    return n.groupBy("market").agg(F.count("*").alias("rows"), F.count(F.col("close").try_cast("double")).alias("closes"))
 
 
 def js_route(spark, d):
-    """Events by type with the number their JSON carries."""
-    e = table(spark, d, "events")
-    k = normalize.json_field(F.col("props"), "$.o.k", "$.k").cast("long")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+    """Events routed by their JSON payload, nested or flat, per market and symbol."""
+    p = table(spark, d, "panel")
+    kind = F.when(F.col("market") == "um", "1").when(F.col("market") == "cm", "2")
+    nested = F.to_json(F.struct(F.struct(F.col("symbol").alias("s")).alias("o"), kind.alias("st")))
+    flat = F.to_json(F.struct(F.col("symbol").alias("s"), F.col("market").alias("market_type")))
+    e = p.select(F.when(F.col("panel_id") % 2 == 0, nested).otherwise(flat).alias("payload"))
+    return routed(e).groupBy("market", "symbol").agg(F.count("*").alias("n"))
 
 
 def rs_trades(spark, d):
@@ -56,7 +58,7 @@ def rs_trades(spark, d):
     return b.select("event_type", F.unix_micros("open_time").alias("open_us"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close", "volume")], "trade_count")
 
 
-QUERIES = {f.__name__: f for f in (nrm_unit, nrm_ts, nrm_klines, flt_offgrid, js_route, rs_trades)}
+QUERIES = {f.__name__: f for f in (nrm_unit, nrm_ts, nrm_klines, nrm_archive, js_route, rs_trades)}
 
 _OBJ = _JUDGED + ", e AS (SELECT r.archive_object, f[1] AS epoch, CASE WHEN length(ltrim(f[1], '+')) = 13 THEN 'ms' ELSE 'us' END AS u, o FROM judged j JOIN raw_klines r USING (line_id) WHERE reason IS NULL)"
 SQL = {
@@ -64,8 +66,8 @@ SQL = {
     "nrm_ts": _OBJ + " SELECT archive_object, min(o) AS first_us, max(o) AS last_us FROM e GROUP BY 1",
     "nrm_klines": _JUDGED + """SELECT r.archive_object, count(*) FILTER (j.line_id IS NOT NULL AND reason IS NULL) AS bar, count(*) FILTER (j.line_id IS NULL) AS header, count(*) FILTER (reason IS NOT NULL) AS fail
 FROM raw_klines r LEFT JOIN judged j USING (line_id) GROUP BY 1""",
-    "flt_offgrid": f"WITH {_READ} SELECT market, symbol, timeframe, count(*) FILTER (epoch_us(open_time) % st = 0) AS on_grid, count(*) AS deliveries FROM steps GROUP BY ALL",
-    "js_route": "SELECT event_type, count(*) AS n, sum(coalesce(json_extract_string(props, '$.o.k'), json_extract_string(props, '$.k'))::BIGINT)::BIGINT AS total FROM events GROUP BY 1",
+    "nrm_archive": "SELECT market, count(*) AS rows, count(try_cast(string_split(raw_line, ',')[5] AS DOUBLE)) AS closes FROM raw_klines WHERE try_cast(string_split(raw_line, ',')[1] AS DOUBLE) IS NOT NULL GROUP BY 1",
+    "js_route": "SELECT CASE WHEN market IN ('um', 'cm') OR panel_id % 2 = 1 THEN market ELSE 'unknown' END AS market, symbol, count(*) AS n FROM panel GROUP BY ALL",
     "rs_trades": """SELECT event_type, epoch_us(date_trunc('hour', ts)) AS open_us, round(arg_min(value, ts), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, ts), 6) AS close,
   round(sum(value), 6) AS volume, count(*) AS trade_count FROM events GROUP BY event_type, date_trunc('hour', ts)""",
 }

@@ -212,17 +212,19 @@ FOLDS = (100, 50, 50, 100, 5)
 
 
 def sp_walk(spark, d):
-    """Rows of each segment in walk-forward folds of its first 500 positions (sp_walk_all has those of all)."""
-    return splits.in_folds(bars(spark, d), F.col("pos"), F.lit(500), *FOLDS).groupBy(*RUN, "fold", "part").agg(F.count("*").alias("n"))
-
-
-def sp_walk_all(spark, d):
     """Rows of each segment in the walk-forward folds over its whole length. A segment has no holes, so a part's rows
     are its positions."""
     folds = splits.fold_table(segment_table(bars(spark, d)), F.col("bars"), *FOLDS)
     return folds.select(*RUN, "fold", "part", (F.col("end") - F.col("first")).alias("n"))
 
 
+def sp_outer(spark, d):
+    """Cuts of each series' rows into train, validation and test, five rows of embargo behind either."""
+    n = bars(spark, d).groupBy(*SERIES).agg(F.count("*").alias("n"))
+    a, b = F.floor(F.col("n") * F.lit(0.6)), F.floor(F.col("n") * F.lit(0.6 + 0.2))
+    return n.select(*SERIES, a.alias("train_end"), F.least(a + 5, b).alias("validation_start"), b.alias("validation_end"), F.least(b + 5, F.col("n")).alias("test_start"))
+
+
 def _feature():
     return sdiv(F.col("close"), F.col("open")) - 1
 
@@ -499,10 +501,8 @@ UNION ALL SELECT market, symbol, timeframe, 'baseline_previous_return_sign', cou
     "sp_chrono": f"WITH {BARS_SQL}, {_PART} SELECT {_K}, part, count(*) AS n, min(pos) AS first, max(pos) AS last FROM parted GROUP BY ALL",
     "sp_global": f"""WITH {BARS_SQL} SELECT market, symbol, timeframe, CASE WHEN slot_no * st < 1609459200000000 - 24 * st THEN 'train' WHEN slot_no * st >= 1609459200000000 + 86400000000 AND slot_no * st < 1672531200000000 - 24 * st THEN 'validation'
   WHEN slot_no * st >= 1672531200000000 + 86400000000 THEN 'test' ELSE 'purged' END AS part, count(*) AS n FROM bars GROUP BY ALL""",
-    "sp_walk": f"""WITH {BARS_SQL}, folds AS (SELECT k::INT AS fold, 100 + 100 * k AS a FROM range(0, 3) t(k)),
-tagged AS (SELECT {_K}, fold, CASE WHEN pos < a THEN 'train' WHEN pos >= a + 5 AND pos < a + 55 THEN 'validation' WHEN pos >= a + 60 AND pos < a + 110 THEN 'test' END AS part FROM bars CROSS JOIN folds)
-SELECT {_K}, fold, part, count(*) AS n FROM tagged WHERE part IS NOT NULL GROUP BY ALL""",
-    "sp_walk_all": f"""WITH {BARS_SQL}, sized AS (SELECT *, count(*) OVER (PARTITION BY {_K}) AS bars FROM bars),
+    "sp_outer": f"WITH {BARS_SQL}, g AS (SELECT market, symbol, timeframe, count(*) AS n FROM bars GROUP BY ALL), c AS (SELECT *, floor(n * 0.6::DOUBLE)::BIGINT AS a, floor(n * (0.6::DOUBLE + 0.2::DOUBLE))::BIGINT AS b FROM g) SELECT market, symbol, timeframe, a AS train_end, least(a + 5, b) AS validation_start, b AS validation_end, least(b + 5, n) AS test_start FROM c",
+    "sp_walk": f"""WITH {BARS_SQL}, sized AS (SELECT *, count(*) OVER (PARTITION BY {_K}) AS bars FROM bars),
 folds AS (SELECT k::INT AS fold, 100 + 100 * k AS a FROM range(0, (SELECT max(bars) FROM sized) // 100 + 1) t(k)),
 tagged AS (SELECT {_K}, fold, CASE WHEN pos < a THEN 'train' WHEN pos >= a + 5 AND pos < a + 55 THEN 'validation' WHEN pos >= a + 60 AND pos < a + 110 THEN 'test' END AS part FROM sized JOIN folds ON a + 110 <= bars)
 SELECT {_K}, fold, part, count(*) AS n FROM tagged WHERE part IS NOT NULL GROUP BY ALL""",

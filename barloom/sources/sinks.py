@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.sources.tables import require_columns
@@ -25,7 +25,10 @@ def write_panel(df: DataFrame, path: str, time: str, keys: Sequence[str] = ("mar
 
 
 def append_revisions(known: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose keys ``known`` does not have yet; of equal new keys one."""
+    """Rows of ``new`` whose keys ``known`` does not have yet; of equal new keys one. detected_at and status, where missing,
+    are now and DETECTED."""
+    for c, x in (("detected_at", F.current_timestamp()), ("status", F.lit("DETECTED"))):
+        new = new.withColumn(c, F.coalesce(F.col(c), x) if c in new.columns else x)
     return new.dropDuplicates(list(keys)).join(known.select(*keys).distinct(), list(keys), "left_anti")
 
 
@@ -46,8 +49,31 @@ def write_tables(tables: dict[str, DataFrame], folder: str, known: Sequence[str]
         raise ValueError(f"unknown tables: {', '.join(extra)}")
     for name in known:
         if name in tables:
-            tables[name].coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+            t = tables[name].coalesce(1)
         else:
-            os.makedirs(f"{folder}/{name}", exist_ok=True)
-            with open(f"{folder}/{name}/part-00000.csv", "w") as f:
-                f.write("status\nINSUFFICIENT EVIDENCE\n")
+            t = next(iter(tables.values())).sparkSession.createDataFrame([("INSUFFICIENT EVIDENCE",)], "status string").coalesce(1)
+        t.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+
+
+def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Records of a registry file, blank lines skipped."""
+    r = spark.read.schema(schema) if schema else spark.read
+    return r.json(path)
+
+
+def write_report(path: str, title: str, metadata: dict, strongest: Sequence[dict]) -> None:
+    """A Markdown report: the metadata as JSON, and a table of the strongest rows, or a line that says there are none."""
+    lines = [f"# {title}", "", "```json", json.dumps(metadata, indent=2, sort_keys=True, default=str), "```", ""]
+    if strongest:
+        columns = list(strongest[0])
+        lines += [f"| {' | '.join(columns)} |", f"|{'-|' * len(columns)}", *[f"| {' | '.join(str(r.get(c, '')) for c in columns)} |" for r in strongest]]
+    else:
+        lines.append("INSUFFICIENT EVIDENCE")
+    with open(path, "w") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def write_processed(bars: DataFrame, path: str) -> None:
+    """Typed bars as parquet, in order of time within each file."""
+    require_columns(bars, {"open_time"})
+    bars.sortWithinPartitions("open_time").write.mode("overwrite").parquet(path)

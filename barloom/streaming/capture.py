@@ -19,6 +19,22 @@ def routed(events: DataFrame, payload: str = "payload") -> DataFrame:
     return events.withColumn("symbol", F.coalesce(json_field(p, "$.o.s", "$.s"), F.lit("unknown"))).withColumn("market", F.coalesce(market, F.lit("unknown")))
 
 
+def envelope(events: DataFrame, stream: str, payload: str = "payload") -> DataFrame:
+    """Routed events as they are kept: received_at, stream, market, symbol and the payload as it came."""
+    e = routed(events, payload)
+    at = F.col("received_at") if "received_at" in events.columns else F.current_timestamp()
+    return e.select(at.alias("received_at"), F.lit(stream).alias("stream"), "market", "symbol", F.col(payload).alias("payload"))
+
+
+def run_for(query: StreamingQuery, seconds: float) -> int:
+    """Lets a query run for so long at most, stops it and returns how many rows it has read."""
+    query.awaitTermination(seconds)
+    read = sum(p["numInputRows"] if isinstance(p, dict) else p.numInputRows for p in query.recentProgress)
+    if query.isActive:
+        query.stop()
+    return read
+
+
 def append_log(events: DataFrame, path: str, checkpoint: str, partition: Sequence[str] = ("market", "symbol")) -> StreamingQuery:
     """Writes what is there now as JSON lines per partition, each event once; a restart goes on where it ended."""
     w = events.writeStream.format("json").partitionBy(*partition).option("checkpointLocation", checkpoint).outputMode("append")
