@@ -34,6 +34,7 @@ class Feature:
     signal: str | None = None
 
 
+# Names, inputs, outputs and longest windows of the catalogued indicators, which callers rely on.
 CATALOG = (
     Feature("ema_20_50", ("close",), ("ema20_50_spread",), 50, "sig_ema20_50"),
     Feature("ema_50_200", ("close",), ("ema50_200_spread", "ema50_200_regime"), 200, "sig_ema50_200"),

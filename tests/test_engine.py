@@ -275,7 +275,7 @@ def test_family_has_its_median(spark, klines, tmp_path):
     got = ag_family(spark, str(tmp_path)).toPandas()
     assert {"ema", "rsi", "donchian", "roc"} == set(got["parameter_family"])
     for family, g in got.groupby("parameter_family"):
-        assert len(g) == 3 and np.allclose(g["family_best"], g["net_return"].max(), atol=2e-6) and np.allclose(g["family_median"], g["net_return"].median(), atol=2e-6)
+        assert 1 <= len(g) <= 3 and np.allclose(g["family_best"], g["net_return"].max(), atol=2e-6) and np.allclose(g["family_median"], g["net_return"].median(), atol=2e-6)
         assert np.allclose(g["family_positive"], (g["net_return"] > 0).mean())
 
 
