@@ -177,6 +177,13 @@ WHERE r.close IS NULL""",
 j AS (SELECT g.*, r.close FROM grid g LEFT JOIN reading r ON r.market = g.market AND r.symbol = g.symbol AND r.timeframe = g.timeframe AND r.slot_no = g.slot_no)
 SELECT market, symbol, timeframe, from_no, count(*) AS slots, count(*) FILTER (close IS NULL) AS missing_now, any_value(missing_intervals) AS missing_recorded,
   any_value(missing_intervals) = count(*) FILTER (close IS NULL) AS agrees FROM j GROUP BY market, symbol, timeframe, from_no, to_no""",
+    "p1_totals": _DAYS + """, wide AS (SELECT market, symbol, from_no, slot_no, any_value(day_no) AS day_no, """ + ", ".join(
+        f"sum(w{p}) FILTER (measure = '{m}')::DOUBLE AS total_{m}_{p}, (sum(w{p}) FILTER (measure = '{m}'))::DOUBLE / least(any_value(day_no), {p}) AS avg_{m}_{p}" for m in MEASURES for p in (7, 30)) + """ FROM sums GROUP BY ALL)
+SELECT g.market, g.symbol, strftime(DATE '1970-01-01' + g.slot_no::INT, '%Y-%m-%d') AS trade_day, g.day_no, """ + ", ".join(f"{k}_{m}_{p}" for k in ("total", "avg") for m in MEASURES for p in (7, 30)) + """, CASE WHEN r.volume IS NOT NULL THEN 'OBSERVED' WHEN r.slot_no IS NOT NULL THEN 'NULL_VALUE' ELSE 'MISSING' END AS status FROM wide g
+LEFT JOIN reading r ON r.market = g.market AND r.symbol = g.symbol AND r.timeframe = '1d' AND r.slot_no = g.slot_no""",
+    "p7_invariant": f"""WITH {_READ}, bad AS (SELECT market, symbol, timeframe, slot_no FROM reading WHERE high < open OR high < close OR high < low OR low > open OR low > close OR least(open, high, low, close) <= 0 OR volume < 0 OR quote_volume < 0)
+SELECT s.market, s.symbol, s.timeframe, s.from_no, count(b.slot_no) AS impossible, any_value(s.ohlc_invariant) AS recorded FROM spans s
+LEFT JOIN bad b ON b.market = s.market AND b.symbol = s.symbol AND b.timeframe = s.timeframe AND b.slot_no BETWEEN s.from_no AND s.to_no GROUP BY s.market, s.symbol, s.timeframe, s.from_no, s.to_no""",
     "p7_found": f"""WITH {_READ},
 pos AS (SELECT *, CASE WHEN high > 0 THEN high END AS h, CASE WHEN low > 0 THEN low END AS l, CASE WHEN quote_volume > 0 THEN quote_volume END AS q FROM reading),
 lev AS (SELECT *, median(h) OVER near AS mh, median(l) OVER near AS ml, median(q) OVER near AS mq,
