@@ -9,7 +9,7 @@ import pandas as pd
 
 
 def _cell(v) -> str:
-    # A float column of pandas holds NULL and NaN alike as NaN; rows() tells them apart before it gets here.
+    # NULL and NaN are alike here, as pandas holds both as NaN in a float column.
     if v is None or (not isinstance(v, (list, tuple)) and pd.isna(v)):
         return "~"
     if isinstance(v, bool):
