@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from statistics import NormalDist
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.exprs import correlation, sdiv
 from barloom.operators.ranks import quantiles, running, uniform, with_rank
 from barloom.plans.grouped import map_groups
-from barloom.plans.materialize import written
+from barloom.plans.materialize import measured_broadcast, written
 
 
 def fit_quantiles(train: DataFrame, keys: Sequence[str], value: str, q: int) -> DataFrame:
@@ -187,28 +188,88 @@ def bootstrap_mean(values: np.ndarray, block: int, samples: int = 200, confidenc
     return float(lo), float(hi)
 
 
-def bootstrap_blocks(df: DataFrame, keys: Sequence[str], value: str, order: str, samples: int = 200, confidence: float = 0.95, least: int = 20) -> DataFrame:
+#: Draws of the bootstrap that one task makes, some seconds of work.
+DRAWS = 500_000
+
+
+def bootstrap_blocks(
+    df: DataFrame, keys: Sequence[str], value: str, order: str, samples: int = 200, confidence: float = 0.95, least: int = 20, whole: int = 16_384,
+) -> DataFrame:
     """Interval of each key's mean by a moving-block bootstrap: keys, n, mean, lo, hi; NULL bounds below ``least`` values.
 
     Blocks of floor(sqrt(n)), two at least, adjacent values (by ``order``, unique within a key) begin anywhere; as many as
     fill n are drawn with replacement, the last one cut short. A block's sum is the difference of two running sums, so
-    a draw is two lookups and no key's values are gathered. Draws come from a hash, the same in every run.
+    a draw is two lookups. Draws come from a hash, the same in every run. A key of n values has about samples * sqrt(n)
+    draws: below ``whole`` values, where these outnumber the values, the running sums of a key go to one task that draws
+    there and no draw is shuffled; a longer key's draws are joined with its sums, so none of its values are gathered.
     """
-    r = written(running(df.where(F.col(value).isNotNull()), keys, order, [value]), "prefixes")
-    total = r.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(value).alias("sum_"))
-    p = r.select(*keys, F.col("below").alias("at_"), F.col(f"below_{value}").alias("p_"))
-    p = p.unionByName(total.select(*keys, F.col("n").alias("at_"), F.col("sum_").alias("p_")))
+    keys = list(keys)
+    r = written(running(df.where(F.col(value).isNotNull()), keys, order, [value]).drop(order), "prefixes")
+    total = written(r.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(value).alias("sum_")), "totals")
     b = F.greatest(F.lit(2), F.floor(F.sqrt("n"))).cast("long")
     t = total.where((F.col("n") >= least) & (F.col("n") >= 2 * b)).withColumn("b_", b)
-    draws = t.select(*keys, "n", "b_", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_"))
+    short = F.col("n") < whole
+    cost = F.ceil(F.col("n") / F.col("b_")) * samples
+    cost_short, cost_long = t.agg(F.sum(F.when(short, cost)), F.sum(F.when(~short, cost))).first()
+    head = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(""))
+    p = r.select(*keys, F.col("below").alias("at_"), F.col(f"below_{value}").alias("p_"), F.lit(None).cast("string").alias("head_"))
+    p = p.unionByName(total.select(*keys, F.col("n").alias("at_"), F.col("sum_").alias("p_"), head.alias("head_")))
+    ci = None
+    if cost_short:
+        few = p.join(measured_broadcast(total.where(~short).select(*keys)), keys, "left_anti") if cost_long else p
+        ci = _drawn_whole(few, keys, samples, confidence, least, min(math.ceil(cost_short / DRAWS), 20_000))
+    if cost_long:
+        many = p.drop("head_").join(measured_broadcast(total.where(~short).select(*keys)), keys, "left_semi")
+        joined = _drawn_joined(many, t.where(~short), keys, samples, confidence, min(math.ceil(cost_long / DRAWS), 20_000))
+        ci = joined if ci is None else ci.unionByName(joined)
+    if ci is None:
+        none = F.lit(None).cast("double")
+        return total.select(*keys, "n", (F.col("sum_") / F.col("n")).alias("mean"), none.alias("lo"), none.alias("hi"))
+    return total.join(ci, keys, "left").select(*keys, "n", (F.col("sum_") / F.col("n")).alias("mean"), "lo", "hi")
+
+
+def _drawn_whole(p: DataFrame, keys: list[str], samples: int, confidence: float, least: int, tasks: int) -> DataFrame:
+    """Bounds of keys whose running sums p_ (by at_, from 0 to n; head_ of the hash at n) one task holds: keys, lo, hi."""
+    at = [(samples - 1) * (1 - confidence) / 2, (samples - 1) * (1 + confidence) / 2]
+
+    def run(b, first, end):
+        sums, ends, heads = b["p_"].to_numpy(float), b["at_"].to_numpy(), b["head_"].to_numpy()
+        rows, out = [], []
+        for a, z in zip(first, end):
+            n = int(ends[z - 1])
+            size = max(2, math.isqrt(n))
+            if n < least or n < 2 * size:
+                continue
+            p, draws, head = sums[a:z], -(-n // size), heads[z - 1].encode()
+            tails = [b"|%d" % k for k in range(draws)]
+            text = b"".join([hashlib.md5(s + k, usedforsecurity=False).digest() for s in [head + b"%d" % i for i in range(samples)] for k in tails])
+            # The first 13 digits of a hash, as in uniform().
+            u = (np.frombuffer(text, ">u8")[::2] >> np.uint64(12)).astype(float) / 2.0**52
+            start = np.floor(u * (n - size + 1)).astype(np.int64).reshape(samples, draws)
+            stop = start + size
+            stop[:, -1] = start[:, -1] + n - (draws - 1) * size
+            means = np.sort((p[stop] - p[start]).sum(axis=1) / n)
+            rows.append(z - 1)
+            out.append([means[math.floor(x)] + (means[math.ceil(x)] - means[math.floor(x)]) * (x - math.floor(x)) for x in at])
+        q = np.array(out, float).reshape(-1, 2)
+        return b[keys].iloc[rows].assign(lo=q[:, 0], hi=q[:, 1])
+
+    kinds = dict(p.dtypes)
+    return map_groups(p, keys, ["at_"], run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", lo double, hi double", tasks)
+
+
+def _drawn_joined(p: DataFrame, t: DataFrame, keys: list[str], samples: int, confidence: float, tasks: int) -> DataFrame:
+    """Bounds of the keys of ``t`` (n, b_), draws joined with the running sums: keys, lo, hi. Spark takes exploded rows
+    for as many as there were before and would broadcast the draws, so both joins are told to merge."""
+    draws = t.select(*keys, "n", "b_", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_")).repartition(tasks, *keys, "sample_")
     draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("b_")) - 1)).alias("draw_"))
     start = F.floor(uniform(*keys, "sample_", "draw_") * (F.col("n") - F.col("b_") + 1)).cast("long")
     draws = draws.select(*keys, "n", "sample_", start.alias("from_"), (start + F.least(F.col("b_"), F.col("n") - F.col("draw_") * F.col("b_"))).alias("to_"))
-    a, z = (p.select(*keys, F.col("at_").alias(c), F.col("p_").alias(f"p{c}")) for c in ("from_", "to_"))
+    a, z = (p.select(*keys, F.col("at_").alias(c), F.col("p_").alias(f"p{c}")).hint("merge") for c in ("from_", "to_"))
     m = draws.join(a, [*keys, "from_"]).join(z, [*keys, "to_"]).groupBy(*keys, "n", "sample_").agg((F.sum(F.col("pto_") - F.col("pfrom_"))).alias("s_"))
     q = F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))
     ci = m.groupBy(*keys).agg(F.percentile(F.col("s_") / F.col("n"), q).alias("q_"))
-    return total.join(ci, list(keys), "left").select(*keys, "n", (F.col("sum_") / F.col("n")).alias("mean"), F.col("q_")[0].alias("lo"), F.col("q_")[1].alias("hi"))
+    return ci.select(*keys, F.col("q_")[0].alias("lo"), F.col("q_")[1].alias("hi"))
 
 
 def deflated_sharpe(sharpe: float, trials: Sequence[float], n: int, skew: float = 0.0, kurtosis: float = 3.0) -> float | None:

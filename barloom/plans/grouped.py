@@ -22,9 +22,10 @@ def bounds(b: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Groups, ddl: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Groups, ddl: str, tasks: int = 0) -> DataFrame:
     """One shuffle on ``keys`` and one sort, then ``fn`` over batches of whole groups. Keys must not be NULL. A
-    group is held in memory, so keys must bound it (a chunk, a run's summary), which every caller here ensures."""
+    group is held in memory, so keys must bound it (a chunk, a run's summary), which every caller here ensures.
+    With ``tasks`` the shuffle has so many partitions, which adaptive execution does not join."""
     keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,4 +47,4 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Gro
             b = pd.concat(rest, ignore_index=True)
             yield fn(b, np.array([0]), np.array([len(b)]))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, ddl)
+    return (df.repartition(tasks, *keys) if tasks else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, ddl)

@@ -284,3 +284,22 @@ def test_bar_returns_are_not_clipped(spark, klines, tmp_path):
 
     klines([("A", i, 100.0, 1, {"open": 20.0, "high": 100.0, "low": 20.0} if i == 3 else None) for i in range(8)]).write.parquet(str(tmp_path / "klines.parquet"))
     assert mo_boot(spark, str(tmp_path)).first()["mean"] == pytest.approx(4 / 8)
+
+
+def test_draws_of_the_bootstrap_are_never_broadcast(spark):
+    rng, want, rows = np.random.default_rng(3), {}, []
+    for key, n in (("a", 19), ("b", 20), ("c", 333), ("d", 4), ("é", 1000)):
+        v = rng.normal(size=n)
+        rows += [(key, 7, 3 * i, float(x)) for i, x in enumerate(v)] + [(key, 7, 3 * n, None)]
+        size = max(2, int(n**0.5))
+        u = np.array([[int(hashlib.md5(f"{key}|7|{s}|{k}".encode()).hexdigest()[:13], 16) / 2**52 for k in range(-(-n // size))] for s in range(200)])
+        means = [np.concatenate([v[f:f + size] for f in np.floor(x * (n - size + 1)).astype(int)])[:n].mean() for x in u]
+        want[key] = (n, v.mean(), *(np.quantile(means, [0.025, 0.975]) if n >= 20 else (None, None)))
+    df = spark.createDataFrame(rows, "k string, h int, at long, v double")
+    for limit in ({}, {"whole": 1}, {"whole": 500}):
+        got = study.bootstrap_blocks(df, ["k", "h"], "v", "at", **limit)
+        out = {r["k"]: (r["n"], r["mean"], r["lo"], r["hi"]) for r in got.collect()}
+        assert out.keys() == want.keys()
+        assert all(out[key] == pytest.approx(w) for key, w in want.items())
+        plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert not any("BroadcastHashJoin" in x and ("from_" in x or "to_" in x) for x in plan)
