@@ -31,8 +31,8 @@ def ahead_chunks(bars: DataFrame, ahead: int, size: int = SIZE) -> DataFrame:
     return bars.withColumn("chunk", F.explode(F.sequence(first, home))).withColumn("own", F.col("chunk") == home)
 
 
-def forward_paths(bars: DataFrame, horizon: int, size: int = SIZE) -> DataFrame:
-    """RUN, slot_no, pos, entry (open of the next bar), ret (close ``horizon`` bars on), mfe and mae (highest high,
+def forward_paths(bars: DataFrame, horizon: int, size: int = SIZE, keep: Sequence[str] = ()) -> DataFrame:
+    """RUN, slot_no, pos, the columns ``keep`` of the bar, entry (open of the next bar), ret (close ``horizon`` bars on), mfe and mae (highest high,
     lowest low on the way) and the first bar, from 1, at which each is reached. NULL where the path leaves
     the segment or the entry is 0 or less."""
     b = ahead_chunks(bars, horizon, size)
@@ -44,7 +44,7 @@ def forward_paths(bars: DataFrame, horizon: int, size: int = SIZE) -> DataFrame:
     whole = F.col("last_").isNotNull() & F.col("entry").isNotNull()
     hi, lo = F.array_max("hi_"), F.array_min("lo_")
     return b.where("own").select(
-        *RUN, "slot_no", "pos", F.when(whole, F.col("entry")).alias("entry"), F.when(whole, F.col("last_") / F.col("entry") - 1).alias("ret"),
+        *RUN, "slot_no", "pos", *keep, F.when(whole, F.col("entry")).alias("entry"), F.when(whole, F.col("last_") / F.col("entry") - 1).alias("ret"),
         F.when(whole, hi / F.col("entry") - 1).alias("mfe"), F.when(whole, lo / F.col("entry") - 1).alias("mae"),
         F.when(whole, F.array_position("hi_", hi)).alias("bars_to_mfe"), F.when(whole, F.array_position("lo_", lo)).alias("bars_to_mae"))
 

@@ -42,15 +42,31 @@ def _running(c: DataFrame, group: Sequence[str], order: str, sums: Sequence[str]
 
 def with_rank(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Adds the rank from 1 of a value in its group, ties sharing their mean rank. Rows without a value have none."""
-    r = running(df, group, value).select(*group, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(r, [*group, value], "left")
+    return _ranked(df, running(df, group, value), group, value, name)
+
+
+def _ranked(df: DataFrame, r: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
+    return df.join(r.select(*group, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name)), [*group, value], "left")
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, at: Sequence[float], name: str, least: int = 1) -> DataFrame:
     """Exact quantiles (linear between neighbours) of each group with at least ``least`` values: group, n_, and an array in
     the order of ``at``. NULL and NaN values are no values."""
     c = _ranges(df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), group, value, ())
-    r = _running(c, group, value).select(*group, F.col(value).cast("double").alias("v_"), "n", "below")
+    return _quantiles(c, _running(c, group, value), group, value, at, name, least)
+
+
+def rank_and_quantiles(df: DataFrame, group: Sequence[str], value: str, rank: str, at: Sequence[float], name: str) -> tuple[DataFrame, DataFrame]:
+    """with_rank() and quantiles() of one value from the same ranges."""
+    c = _ranges(df, group, value, ())
+    r = _running(c, group, value)
+    there = ~F.isnan(F.col(value).cast("double"))
+    # NaN is above every number, so it moves no other position.
+    return _ranked(df, r, group, value, rank), _quantiles(c.where(there), r.where(there), group, value, at, name, 1)
+
+
+def _quantiles(c: DataFrame, r: DataFrame, group: Sequence[str], value: str, at: Sequence[float], name: str, least: int) -> DataFrame:
+    r = r.select(*group, F.col(value).cast("double").alias("v_"), "n", "below")
     total = c.groupBy(*group).agg(F.sum("n").alias("n_")).where(F.col("n_") >= least)
     want = F.explode(F.array(*[F.struct(F.lit(k).alias("k_"), F.lit(float(p)).alias("p_")) for k, p in enumerate(at)]))
     w = total.select(*group, "n_", want.alias("w_")).select(*group, "n_", "w_.k_", (F.col("w_.p_") * (F.col("n_") - 1)).alias("pos_"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.exprs import correlation, sdiv
-from barloom.operators.ranks import quantiles, running, uniform, with_rank
+from barloom.operators.ranks import quantiles, rank_and_quantiles, running, uniform, with_rank
 from barloom.plans.grouped import map_groups
 from barloom.plans.materialize import measured_broadcast, written
 
@@ -65,21 +65,28 @@ def fit_regimes(train: DataFrame, keys: Sequence[str], volatility: str = "realiz
 def event_study(df: DataFrame, keys: Sequence[str], feature: str, ret: str, quantile: str = "quantile") -> DataFrame:
     """Per key and slice (overall, quantile_k, feature_positive, feature_negative) of the rows with a feature and a
     return: count, mean, median, hit rate, Pearson and rank correlation of feature and return, mean mfe and mae and the
-    median bars to them. Add the horizon to the keys to study several. Ranks and medians are cut by ranges of value."""
+    median bars to them. Add the horizon to the keys to study several. Ranks and medians are cut by ranges of value. A
+    quantile must be a range of the feature, as of apply_quantiles(): a feature's rank in a slice is then its rank in the
+    key less the same number for all rows, which no correlation sees, so features are ranked once, before the slices."""
     f = F.col(feature)
     d = df.where(f.isNotNull() & F.col(ret).isNotNull())
     tags = F.array_compact(F.array(F.lit("overall"), F.concat(F.lit("quantile_"), F.col(quantile).cast("string")),
                                    F.when(f > 0, "feature_positive"), F.when(f < 0, "feature_negative")))
-    d = d.select(*keys, f.alias("x_"), F.col(ret).alias("y_"), "mfe", "mae", "bars_to_mfe", "bars_to_mae", F.explode(tags).alias("slice"))
+    d = d.select(*keys, f.alias("x_"), F.col(ret).alias("y_"), "mfe", "mae", "bars_to_mfe", "bars_to_mae", tags.alias("tags_"))
     g = [*keys, "slice"]
-    medians = quantiles(d, g, "y_", [0.5], "median_").select(*g, F.col("median_")[0].alias("median_ret"))
-    d = with_rank(with_rank(d, g, "x_", "rx_"), g, "y_", "ry_")
+    ranked = written(with_rank(d.select(*keys, "x_", "y_", "tags_"), keys, "x_", "rx_").drop("x_"), "ranked")
+    ranked = ranked.select(*keys, "rx_", "y_", F.explode("tags_").alias("slice"))
+    ranked, medians = rank_and_quantiles(ranked, g, "y_", "ry_", [0.5], "median_")
+    rank_ic = ranked.groupBy(*g).agg(correlation(F.col("rx_"), F.col("ry_")).alias("rank_ic"))
+    medians = medians.select(*g, F.col("median_")[0].alias("median_ret"))
+    d = d.select("*", F.explode("tags_").alias("slice")).drop("tags_")
     # Bars to an extreme are at most the horizon, so their exact medians need a count per bar only.
     out = d.groupBy(*g).agg(
         F.count("*").alias("n"), F.avg("y_").alias("mean_ret"), F.avg((F.col("y_") > 0).cast("double")).alias("hit_rate"),
-        correlation(F.col("x_"), F.col("y_")).alias("ic"), correlation(F.col("rx_"), F.col("ry_")).alias("rank_ic"), F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"),
+        correlation(F.col("x_"), F.col("y_")).alias("ic"), F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"),
         F.percentile("bars_to_mfe", F.lit(0.5)).alias("median_bars_to_mfe"), F.percentile("bars_to_mae", F.lit(0.5)).alias("median_bars_to_mae"))
-    return out.join(medians, g)
+    out = out.join(rank_ic, g).join(medians, g)
+    return out.select(*g, "n", "mean_ret", "hit_rate", "ic", "rank_ic", *[c for c in out.columns if c.startswith(("mean_m", "median_bars"))], "median_ret")
 
 
 def monotonicity(study: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from barloom.operators import backtest, splits, study
 from barloom.operators.indicators import indicators, signals, variants
 from barloom.operators.segments import chunked, segment_table
 from barloom.operators.slots import SERIES, micros, step_us
-from barloom.plans.materialize import written
+from barloom.plans.materialize import measured_broadcast, written
 from barloom.sources.tables import table
 from barloom.queries.bars import _RET, _S, BARS_SQL, bars, context_bars
 
@@ -234,13 +234,17 @@ HORIZONS = (1, 4)
 
 
 def _featured(spark, d):
-    """Bars with their part, feature and forward paths over each horizon; paths do not leave the part."""
-    b = _parted(spark, d).withColumn("feature", _feature())
-    paths = None
+    """Train bars with their feature and validation bars with feature and forward paths over each horizon. Paths do not
+    leave the part, so the part's own bars are all they need. The bars are written once, for their parts and all paths."""
+    b = written(bars(spark, d).select(*RUN, "slot_no", "pos", "open", "high", "low", "close"), "study-bars")
+    n = segment_table(b).select(*RUN, F.col("bars").alias("n_"))
+    b = splits.chronological(b.join(measured_broadcast(n), list(RUN)), F.col("pos"), F.col("n_"), 0.6, 0.2, 2).withColumn("feature", _feature())
+    v, paths = b.where(F.col("part") == "validation"), None
     for h in HORIZONS:
-        f = backtest.forward_paths(bars(spark, d), h).select(*RUN, "pos", F.lit(h).alias("horizon"), "ret", "mfe", "mae", "bars_to_mfe", "bars_to_mae")
+        f = backtest.forward_paths(v, h, keep=["n_", "feature"]).withColumn("horizon", F.lit(h))
         paths = f if paths is None else paths.unionByName(f)
-    return b.join(paths, [*RUN, "pos"]).where(F.col("pos") + F.col("horizon") < F.floor(F.col("n_") * F.lit(0.6 + 0.2)))
+    paths = paths.where(F.col("pos") + F.col("horizon") < F.floor(F.col("n_") * F.lit(0.6 + 0.2)))
+    return b.where(F.col("part") == "train").select(*SERIES, "feature"), paths.drop(*RUN[len(SERIES):], "pos", "entry", "n_")
 
 
 def mo_qfit(spark, d):
@@ -260,8 +264,8 @@ STUDY = (*SERIES, "horizon")
 
 
 def _study(spark, d):
-    model = study.fit_quantiles(_parted(spark, d).where(F.col("part") == "train").withColumn("feature", _feature()), SERIES, "feature", 5)
-    v = written(study.apply_quantiles(_featured(spark, d).where(F.col("part") == "validation"), model, SERIES, "feature"), "study")
+    train, paths = _featured(spark, d)
+    v = written(study.apply_quantiles(paths, study.fit_quantiles(train, SERIES, "feature", 5), SERIES, "feature"), "study")
     s = study.event_study(v, STUDY, "feature", "ret")
     ci = study.bootstrap_blocks(v, STUDY, "ret", "slot_no").select(*STUDY, F.lit("overall").alias("slice"), F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
     return s.join(ci, [*STUDY, "slice"], "left")

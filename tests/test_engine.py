@@ -303,3 +303,21 @@ def test_draws_of_the_bootstrap_are_never_broadcast(spark):
         assert all(out[key] == pytest.approx(w) for key, w in want.items())
         plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
         assert not any("BroadcastHashJoin" in x and ("from_" in x or "to_" in x) for x in plan)
+
+
+def test_study_of_one_series(spark, klines, tmp_path):
+    from barloom.queries.research import mo_study
+
+    close = np.round(100 + np.random.default_rng(5).normal(size=300).cumsum(), 1)
+    klines([("A", i, float(c), 1, {"open": float(o), "high": float(max(o, c)), "low": float(min(o, c))}) for i, (o, c) in enumerate(zip([100.0, *close[:-1]], close))]).write.parquet(str(tmp_path / "klines.parquet"))
+    df = mo_study(spark, str(tmp_path))
+    got = {(r["horizon"], r["slice"]): r for r in df.collect()}
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not any("BroadcastHashJoin" in x and ("from_" in x or "to_" in x) for x in plan)
+    o, at = pd.Series([100.0, *close[:-1]]), pd.Series(range(300))
+    for h in (1, 4):
+        v = pd.DataFrame({"x": close / o - 1, "y": pd.Series(close).shift(-h) / o.shift(-1) - 1})[(at >= 182) & (at + h < 240)]
+        for name, s in (("overall", v), ("feature_positive", v[v["x"] > 0]), ("feature_negative", v[v["x"] < 0])):
+            r = got[h, name]
+            assert (r["n"], r["median_ret"], r["rank_ic"]) == pytest.approx((len(s), s["y"].median(), s["x"].rank().corr(s["y"].rank())), abs=2e-6)
+        assert got[h, "overall"]["ci_low"] < v["y"].mean() < got[h, "overall"]["ci_high"]
